@@ -6,17 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact import exact_pairs
 from .njoin import ngram_jaccard_join
+from .packing import pack
 from .quality import quality_report
+from .secrets import scan_secrets
+from .sharding import shard_rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_documents(spark, sf_dir).select("doc_id"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_pairs(_documents(spark, sf_dir))
 
@@ -25,7 +36,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup, op8_ngram_join)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_sharding, op6_exact_dedup, op8_ngram_join, op9_secret_scan)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
