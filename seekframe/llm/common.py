@@ -88,6 +88,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches, text_col: str, chars: int = 4 << 20):
+    """The rows of Arrow batches in pieces of about so many characters, so that a worker's arrays stay small.
+
+    A text is never cut: a longer one is a piece by itself.
+    """
+    for pdf in batches:
+        size = pdf[text_col].str.len().fillna(0).to_numpy()
+        piece = (np.cumsum(size) // chars).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(piece)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if b > a:
+                yield pdf.iloc[a:b].reset_index(drop=True)
+
+
 # --- word n-grams on bytes, a whole Arrow batch at a time -------------------------------------------------
 
 _WORD = np.zeros(256, np.bool_)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, mix, ngram_names, packed, shuffle_partitions, unpacked, words_of
+from .common import Table, mix, ngram_names, packed, shuffle_partitions, slices, unpacked, words_of
 
 N = 5
 THRESHOLD = 0.3
@@ -76,7 +76,7 @@ def _first_two(texts):
 
 def _extract(n: int, buckets: int):
     def run(batches):
-        for pdf in batches:
+        for pdf in slices(batches, "text"):
             pdf = pdf[pdf["doc_id"].notna()]
             heads, grams, of = _gram_sets(pdf["doc_id"].to_numpy(np.int64), pdf["text"], n)
             if not len(heads):
