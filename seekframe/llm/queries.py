@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .exact import exact_pairs
 from .njoin import ngram_jaccard_join
 from .packing import pack
@@ -28,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_documents(spark, sf_dir).select("doc_id"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_pairs(_documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_sharding, op6_exact_dedup, op8_ngram_join, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op8_ngram_join, op9_secret_scan)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
