@@ -95,7 +95,7 @@ def slices(batches, text_col: str, chars: int = 4 << 20):
     """
     for pdf in batches:
         size = pdf[text_col].str.len().fillna(0).to_numpy()
-        piece = (np.cumsum(size) // chars).astype(np.int64)
+        piece = (np.cumsum(size + chars / 50_000) // chars).astype(np.int64)  # 50,000 rows at most
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
             if b > a:

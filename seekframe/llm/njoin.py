@@ -3,10 +3,10 @@
 Two documents join if the Jaccard similarity of their sets of word n-grams is at least ``threshold``.  Grams
 are 64-bit names, of which 48 bits and the number of their bucket are kept.
 
-1. Each document's grams are cut into buckets by name.  A bucket's task sees all postings of its names: it
-   collapses documents with identical sets to the one with the least id, and keeps the postings of names
-   that two sets or more hold.  A document needs T = ceil(threshold * size) of these, or it joins nothing:
-   this leaves the near copies.  All later steps work on these alone.
+1. Documents are read in slices, and each slice's grams are cut into buckets by name.  A bucket's task sees all postings of its
+   names and keeps those of names that two documents or more hold.  A document needs T = ceil(threshold * size)
+   of these, or it joins nothing: this leaves the near copies.  Of those with identical sets, the least id stands
+   for all.  All later steps work on these alone.
 2. They are laid out in index shards, near copies mostly together, and each is sent as a query to the shards
    that hold at least T - L of its grams besides the L longest lists.
 3. A shard answers a query from inverted lists: the short lists are heap-merged to count each document's
@@ -24,10 +24,11 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, mix, ngram_names, packed, shuffle_partitions, slices, unpacked, words_of
+from .common import Table, ngram_names, packed, shuffle_partitions, slices, unpacked, words_of
 
 N = 5
 THRESHOLD = 0.3
@@ -46,13 +47,14 @@ def need(size: int, threshold: float) -> int:
 
 # --- step 1 -----------------------------------------------------------------------------------------------
 
-_BLOB = "bucket int, heads binary, counts binary, grams binary"
-_HEAD = np.dtype([("id", "<i8"), ("k1", "<u8"), ("k2", "<u8"), ("size", "<u4")])
+_HEAD = np.dtype([("id", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("size", "<u4")])
+_BLOB = "bucket int, slice bigint, grams binary, docs binary, heads binary"
 
 
 def _gram_sets(ids, texts, n: int):
-    """Head and sorted grams of each document of a batch that has any."""
-    names, of = ngram_names(*_first_two(texts), n)
+    """Head of each document of a slice that has grams; the grams by document, ascending; and which head each belongs to."""
+    words, _, _, first, _ = words_of(texts)
+    names, of = ngram_names(words, first, n)
     order = np.lexsort((names, of))
     names, of = names[order], of[order]
     fresh = np.ones(len(names), np.bool_)
@@ -65,40 +67,32 @@ def _gram_sets(ids, texts, n: int):
     heads["id"], heads["size"] = np.asarray(ids, np.int64)[have], size[have]
     for j, t in enumerate(have):
         digest = hashlib.blake2b(names[start[t] : start[t + 1]].tobytes(), digest_size=16).digest()
-        heads["k1"][j], heads["k2"][j] = np.frombuffer(digest, "<u8")
+        heads["k1"][j], heads["k2"][j] = np.frombuffer(digest, "<i8")
     return heads, names, np.repeat(np.arange(len(have)), size[have])
 
 
-def _first_two(texts):
-    words, _, _, first, _ = words_of(texts)
-    return words, first
-
-
 def _extract(n: int, buckets: int):
     def run(batches):
+        # A slice's number and a document's place in it name the document in two bytes a gram, whatever the number of buckets.
+        number = TaskContext.get().partitionId() << 40
         for pdf in slices(batches, "text"):
             pdf = pdf[pdf["doc_id"].notna()]
             heads, grams, of = _gram_sets(pdf["doc_id"].to_numpy(np.int64), pdf["text"], n)
             if not len(heads):
                 continue
+            number += 1
             bucket = ((grams >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-            home = (heads["k1"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            grams, of, bucket = grams[order], of[order], bucket[order]
+            grams, of, bucket = grams[order].view(np.uint8).reshape(-1, 8)[:, :6], of[order].astype("<u2"), bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in range(buckets):
-                g, o = grams[cut[b] : cut[b + 1]], of[cut[b] : cut[b + 1]]
-                count = np.bincount(o, minlength=len(heads))
-                show = np.flatnonzero((count > 0) | (home == b))
-                if len(show):
-                    out.append((b, heads[show].tobytes(), count[show].astype("<u4").tobytes(), g.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "heads", "counts", "grams"])
+            out = [(b, number, grams[cut[b] : cut[b + 1]].tobytes(), of[cut[b] : cut[b + 1]].tobytes(), b"") for b in range(buckets) if cut[b] < cut[b + 1]]
+            out.append((number % buckets, number, b"", b"", heads.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "slice", "grams", "docs", "heads"])
 
     return run
 
 
-_SHARED = "to int, heads binary, counts binary, grams binary, dfs binary, reps binary, members binary"
+_SHARED = "slice bigint, grams binary, docs binary, dfs binary, heads binary"
 
 
 def _six(grams: np.ndarray) -> np.ndarray:
@@ -107,71 +101,48 @@ def _six(grams: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _reduce_bucket(buckets: int, targets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
-        heads = np.frombuffer(b"".join(pdf["heads"]), _HEAD)
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64)
-        grams = _six(np.frombuffer(b"".join(pdf["grams"]), np.uint8))
-        # one document for each set: that with the least id
-        order = np.lexsort((heads["id"], heads["k2"], heads["k1"]))
-        sets = heads[order]
-        lead = np.ones(len(sets), np.bool_)
-        lead[1:] = (sets["k1"][1:] != sets["k1"][:-1]) | (sets["k2"][1:] != sets["k2"][:-1])
-        rep = sets["id"][np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        mine = (sets["k1"] % np.uint64(buckets)).astype(np.int64) == b
-        star = np.unique(np.stack([rep[mine], sets["id"][mine]], 1), axis=0)
-        star = star[star[:, 0] != star[:, 1]]
-        is_lead = np.zeros(len(heads), np.bool_)
-        is_lead[order[lead]] = True
-        doc = np.repeat(np.arange(len(heads)), counts)
-        keep = is_lead[doc]
-        doc, grams = doc[keep], grams[keep]
-        order = np.argsort(grams)
-        g = grams[order]
-        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
-        df = np.empty(len(g), np.int64)
-        df[order] = np.repeat(np.diff(np.append(starts, len(g))), np.diff(np.append(starts, len(g))))
-        several = df > 1
-        doc, grams, df = doc[several], grams[several], df[several]
-        to = (mix(heads["k1"]) % np.uint64(targets)).astype(np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-        grams = grams | np.uint64(b << 48)
-        order = np.lexsort((doc, to))
-        doc, grams, df, to = doc[order], grams[order], df[order], to[order]
-        out, cut = [], np.searchsorted(to, np.arange(targets + 1))
-        for t in np.unique(to):
-            d = doc[cut[t] : cut[t + 1]]
-            shown, count = np.unique(d, return_counts=True)
-            out.append((int(t), heads[shown].tobytes(), count.astype("<u4").tobytes(), grams[cut[t] : cut[t + 1]].tobytes(), df[cut[t] : cut[t + 1]].astype("<u4").tobytes(), b"", b""))
-        if len(star):
-            out.append((-1, b"", b"", b"", b"", star[:, 0].tobytes(), star[:, 1].tobytes()))
-        return pd.DataFrame(out, columns=["to", "heads", "counts", "grams", "dfs", "reps", "members"])
+def _reduce_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The grams of a bucket that two documents or more hold, with their number, by slice."""
+    b = int(pdf["bucket"].iloc[0])
+    grams = _six(np.frombuffer(b"".join(pdf["grams"]), np.uint8))
+    docs = np.frombuffer(b"".join(pdf["docs"]), "<u2")
+    cut = np.concatenate(([0], np.cumsum([len(d) // 2 for d in pdf["docs"]])))
+    order = np.argsort(grams)
+    g = grams[order]
+    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(g)))
+    df = np.empty(len(g), "<u4")
+    df[order] = np.repeat(length, length)
+    del order, g
+    grams |= np.uint64(b << 48)
+    out = []
+    for i, (number, heads) in enumerate(zip(pdf["slice"], pdf["heads"])):
+        here = slice(cut[i], cut[i + 1])
+        several = df[here] > 1
+        if len(heads) or several.any():
+            out.append((number, grams[here][several].tobytes(), docs[here][several].tobytes(), df[here][several].tobytes(), heads))
+    return pd.DataFrame(out, columns=["slice", "grams", "docs", "dfs", "heads"])
 
-    return run
 
+_SET = "id bigint, size int, k1 bigint, k2 bigint, grams array<bigint>, longest int"
 
-_SET = "id bigint, size int, grams array<bigint>, longest int"
 
+def _reduce_slice(threshold: float):
+    """The documents of a slice that can join anything, their shared grams from the rarest to the commonest."""
 
-def _reduce_target(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = np.frombuffer(b"".join(pdf["heads"]), _HEAD)
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64)
-        grams = np.frombuffer(b"".join(pdf["grams"]), "<u8")
-        df = np.frombuffer(b"".join(pdf["dfs"]), "<u4")
-        keys, which = np.unique(heads[["k1", "k2"]], return_inverse=True)
-        doc = np.repeat(which, counts)
+        grams = np.frombuffer(b"".join(pdf["grams"]), "<i8")
+        df, doc = np.frombuffer(b"".join(pdf["dfs"]), "<u4"), np.frombuffer(b"".join(pdf["docs"]), "<u2")
+        enough = np.maximum(1, np.ceil(heads["size"] * threshold - _EPS)).astype(np.int64)
+        able = np.bincount(doc, minlength=len(heads)) >= enough
+        keep = able[doc]
+        grams, df, doc = grams[keep], df[keep], doc[keep]
         order = np.lexsort((grams, df, doc))
-        doc, grams = doc[order], grams[order].view(np.int64)
-        cut = np.searchsorted(doc, np.arange(len(keys) + 1))
-        head = np.zeros(len(keys), np.int64)
-        head[which] = np.arange(len(heads))
-        out = []
-        for i in range(len(keys)):
-            size, m = int(heads["size"][head[i]]), int(cut[i + 1] - cut[i])
-            if m >= (t := need(size, threshold)):
-                out.append((int(heads["id"][head[i]]), size, grams[cut[i] : cut[i + 1]], t // 2))
-        return pd.DataFrame(out, columns=["id", "size", "grams", "longest"])
+        doc, grams = doc[order], grams[order]
+        cut = np.searchsorted(doc, np.arange(len(heads) + 1))
+        out = [(*heads[i][["id", "size", "k1", "k2"]].tolist(), grams[cut[i] : cut[i + 1]], int(enough[i]) // 2) for i in np.flatnonzero(able)]
+        return pd.DataFrame(out, columns=["id", "size", "k1", "k2", "grams", "longest"])
 
     return run
 
@@ -266,17 +237,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Of documents with identical sets of grams, the least id stands for all: it's paired with each of the
     others (jaccard 1.0), and alone with other sets.  This says the same as all pairs, and stays linear in
     the size of a group of copies.  Words are lower-cased runs of letters and digits; a text with fewer words than
-    n has one gram.  A null, empty or wordless text joins nothing, nor does a row with a null id; repeated
-    rows count once; a pair at exactly the threshold joins.  An empty table gives no rows, other columns are
+    n has one gram.  A null, empty or wordless text joins nothing, nor does a row with a null id; rows repeated under an id
+    count as one; a pair at exactly the threshold joins.  An empty table gives no rows, other columns are
     ignored, and texts count whole whatever their length.  Ids must be integers.
+    docs must give the same rows in the same order if read again, as tables do and maps and filters of them.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     blobs = narrow.mapInPandas(_extract(n, parts), _BLOB)
-    shared = Table(blobs.groupBy("bucket").applyInPandas(_reduce_bucket(parts, parts), _SHARED), "join-shared")
-    sets = Table(shared.df.filter("to >= 0").groupBy("to").applyInPandas(_reduce_target(threshold), _SET), "join-sets")
-    star = shared.df.filter("to < 0").mapInPandas(_unpack_stars, _PAIR)
+    shared = Table(blobs.groupBy("bucket").applyInPandas(_reduce_bucket, _SHARED), "join-shared")
+    every = Table(shared.df.groupBy("slice").applyInPandas(_reduce_slice(threshold), _SET), "join-sets")
+    shared.drop()
+    # of documents with identical sets, the least id stands for all
+    leads = Table(every.df.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.count("*").alias("copies")), "join-leads")
+    star = every.df.select("k1", "k2", "id").join(leads.df.filter("copies > 1"), ["k1", "k2"]).filter("id <> lead").select(F.col("lead").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    sets = Table(every.df.join(leads.df.select("k1", "k2", F.col("lead").alias("id")), ["k1", "k2", "id"], "left_semi").select("id", "size", "grams", "longest"), "join-sets")
 
     # Index shards: documents with the same least gram live together; a crowded shard is split by id.
     bin_of = F.pmod(F.xxhash64(F.array_min("grams")), F.lit(4 * parts)).cast("int")
@@ -290,13 +266,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = routes.alias("r").join(sets.df.alias("s"), F.col("r.id") == F.col("s.id")).select("r.home", "s.id", "s.size", "s.grams")
     sides = [x.select(F.col("home.bin").alias("bin"), F.col("home.way").alias("way"), F.col("id").alias("id"), F.col("size").alias("size"), F.col("grams").alias("grams")) for x in (homes, asked)]
     found = sides[0].groupBy("bin", "way").cogroup(sides[1].groupBy("bin", "way")).applyInPandas(_search(threshold), _PAIR)
-    return star.unionByName(found)
-
-
-def _unpack_stars(batches):
-    for pdf in batches:
-        for reps, members in zip(pdf["reps"], pdf["members"]):
-            yield pd.DataFrame({"doc_a": np.frombuffer(reps, "<i8"), "doc_b": np.frombuffer(members, "<i8"), "jaccard": 1.0})
+    return star.unionByName(found).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
