@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from .exact import exact_pairs
+from .license import scan_licenses
+from .lines import line_duplicates
 from .njoin import ngram_jaccard_join
 from .packing import pack
 from .quality import quality_report
@@ -17,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -37,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_pairs(_documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(_documents(spark, sf_dir))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_documents(spark, sf_dir))
 
@@ -45,10 +55,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op8_ngram_join, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_ngram_join, op9_secret_scan)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
         SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> keep_id""",
+    "op7_line_dedup": """
+        WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents),
+        ranked AS (SELECT doc_id, line_no, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY line ORDER BY doc_id, line_no))
+        SELECT doc_id, line_no, keep_id FROM ranked WHERE rn > 1""",
 }
