@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality_report
 from .secrets import scan_secrets
 from .sharding import shard_rows
+from .suffix import repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_ngram_join, op9_secret_scan)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_ngram_join, op9_secret_scan, op10_repeats)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
