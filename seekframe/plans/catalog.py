@@ -1,6 +1,590 @@
-"""All queries of the library's own operators, and their SQL."""
+"""All queries of the library's own operators, each over its whole tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import chunk, encode, graph, subword
+from ..operators import dense as D
+from ..operators import evaluate as E
+from ..operators import fuse, lexical, sparse
+from ..operators.topk import threshold, top_k
+
+K, DIM = 10, 64
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# --- inputs -----------------------------------------------------------------------------------------------
+
+
+def doc_tokens(spark, d, analyzer=T.tokenize_plain):
+    return lexical.tokens(table(spark, d, "documents"), analyzer)
+
+
+def text_queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize_plain(F.col("text")).alias("tokens"))
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+def vector_queries(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def item_vectors(spark, d):
+    """Benchmark items that have a vector, as dense queries."""
+    return table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "doc_id", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- shared SQL -------------------------------------------------------------------------------------------
+
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
+_TOKS = f"t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), p0 AS (SELECT doc_id, len(tokens)::BIGINT AS len, unnest(tokens) AS term FROM t), p AS (SELECT doc_id, len, term, count(*)::DOUBLE AS tf FROM p0 GROUP BY ALL), c AS (SELECT count(*)::DOUBLE AS n, sum(len(tokens))::DOUBLE / count(*) AS avgdl FROM t)"
+_QT = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark)"
+_DF = "df AS (SELECT term, count(*)::DOUBLE AS df, max(tf) AS max_tf, min(len) AS min_len FROM p GROUP BY term)"
+_IDF = "ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
+
+
+def _bm25(k1="1.5", b="0.75") -> str:
+    return f"{_TOKS}, {_QT}, {_DF}, s AS (SELECT query_id, doc_id, sum({_IDF} * (tf * ({k1}::DOUBLE + 1)) / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * (len / avgdl)))) AS score FROM p JOIN df USING (term) JOIN q USING (term) CROSS JOIN c GROUP BY ALL)"
+
+
+def _top(source: str, k: int | None = K, keys: str = "query_id") -> str:
+    by = f"PARTITION BY {keys} " if keys else ""
+    return f"SELECT query_id, doc_id, round(score, 6) + 0 AS score, rn AS rank FROM (SELECT *, row_number() OVER ({by}ORDER BY round(score, 9) DESC, doc_id) AS rn FROM {source})" + (f" WHERE rn <= {k}" if k else "")
+
+
+_FLAT = "f AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v CROSS JOIN embeddings q)"
+_ITEM_FLAT = "f AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v CROSS JOIN (SELECT e.* FROM embeddings e JOIN benchmark ON item_id = vec_id) q)"
+_I8 = "z AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE AS m FROM embeddings), i8 AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / (m / 127::DOUBLE))::INTEGER) AS codes, m / 127::DOUBLE AS scale FROM z)"
+_I8_SCORES = f"{_I8}, f AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(v.codes::DOUBLE[], q.codes::DOUBLE[]) * q.scale * v.scale AS score FROM i8 v CROSS JOIN i8 q)"
+_CENTER = "u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT pos, round(avg(x), 9) AS mean FROM u GROUP BY pos)"
+_BITS = f"{_CENTER}, b AS (SELECT vec_id, list(round(x - mean, 9) >= 0 ORDER BY pos) AS bits FROM u JOIN m USING (pos) GROUP BY vec_id)"
+_NEAR = f"{_BITS}, h AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, len(list_filter(list_zip(q.bits, v.bits), lambda s: s[1] <> s[2]))::BIGINT AS distance FROM b v CROSS JOIN b q), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rn FROM h) WHERE rn <= {K * D.OVERQUERY})"
+
+# --- selection --------------------------------------------------------------------------------------------
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+
+
+@query(_top("(SELECT o_orderpriority AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders)", 100, ""))
+def topk_global(spark, d):
+    return hits(top_k(_orders(spark, d), 100))
+
+
+@query(_top("(SELECT o_orderpriority AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders)"))
+def topk_grouped(spark, d):
+    return hits(top_k(_orders(spark, d), K, ["query_id"]))
+
+
+@query("SELECT query_id, min(score) AS threshold, count(*) AS held FROM (SELECT o_orderpriority AS query_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round(o_totalprice, 9) DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 10 GROUP BY query_id")
+def topk_threshold(spark, d):
+    held = top_k(_orders(spark, d), K, ["query_id"]).groupBy("query_id").agg(F.count("*").alias("held"))
+    return threshold(_orders(spark, d), K, ["query_id"]).join(held, "query_id").select("query_id", "threshold", "held")
+
+
+# --- lexical ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TOKS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY term")
+def tok_plain_stats(spark, d):
+    return lexical.postings(doc_tokens(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_CODE = r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) AS run FROM documents),
+ s AS (SELECT doc_id, run, list_filter(string_split(CASE WHEN contains(run, '_') THEN run ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(run, '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Za-z])([0-9])', '\1_\2', 'g'), '([0-9])([A-Za-z])', '\1_\2', 'g') END, '_'), lambda x: x <> '') AS parts FROM r),
+ t AS (SELECT doc_id, lower(unnest(CASE WHEN len(parts) >= 2 THEN list_concat([run], parts) ELSE [run] END)) AS term FROM s)
+ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term"""
+
+
+@query(_CODE)
+def tok_code_stats(spark, d):
+    return lexical.postings(doc_tokens(spark, d, T.tokenize_code)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {_TOKS}, {_DF} SELECT term, df::BIGINT AS df, max_tf::BIGINT AS max_tf, min_len FROM df")
+def bm25_build_terms(spark, d):
+    return lexical.terms(doc_tokens(spark, d))
+
+
+@query(f"WITH {_TOKS} SELECT doc_id, len(tokens)::BIGINT AS len, round(len(tokens) / avgdl, 6) AS norm FROM t CROSS JOIN c")
+def bm25_doc_norms(spark, d):
+    return lexical.norms(doc_tokens(spark, d)).withColumn("norm", r6(F.col("norm")))
+
+
+@query(f"WITH {_TOKS}, {_QT}, {_DF} SELECT term, coalesce(df, 0)::BIGINT AS df, CASE WHEN df IS NULL THEN 0 ELSE round({_IDF}, 6) END AS idf FROM (SELECT DISTINCT term FROM q) LEFT JOIN df USING (term) CROSS JOIN c")
+def bm25_idf(spark, d):
+    return lexical.document_frequency(doc_tokens(spark, d), text_queries(spark, d)).withColumn("idf", r6(F.col("idf")))
+
+
+@query(f"WITH {_bm25()} SELECT q.item_id AS query_id, t.doc_id, coalesce(round(score, 6), 0) AS score FROM benchmark q CROSS JOIN t LEFT JOIN s ON s.query_id = q.item_id AND s.doc_id = t.doc_id")
+def bm25_scores_all(spark, d):
+    return lexical.scores_all(doc_tokens(spark, d), text_queries(spark, d)).withColumn("score", r6(F.col("score")))
+
+
+@query(f"WITH {_bm25()} {_top('s')}")
+def bm25_topk(spark, d):
+    return hits(top_k(lexical.bm25(doc_tokens(spark, d), text_queries(spark, d)), K, ["query_id"], positive=True))
+
+
+@query(f"WITH {_bm25('0.9', '0.4')} {_top('s')}")
+def bm25_topk_tuned(spark, d):
+    return hits(top_k(lexical.bm25(doc_tokens(spark, d), text_queries(spark, d), 0.9, 0.4), K, ["query_id"], positive=True))
+
+
+@query(f"WITH {_bm25()} {_top('s', None)}")
+def bm25_all_positive(spark, d):
+    return hits(top_k(lexical.bm25(doc_tokens(spark, d), text_queries(spark, d)), -1, ["query_id"], positive=True, nonpositive_k="negative_all"))
+
+
+@query(f"WITH {_bm25()} {_top('s')}")
+def bm25_topk_duplicate_terms(spark, d):
+    twice = text_queries(spark, d).withColumn("tokens", F.concat("tokens", "tokens"))
+    return hits(top_k(lexical.bm25(doc_tokens(spark, d), twice), K, ["query_id"], positive=True))
+
+
+@query(f"WITH {_TOKS}, {_QT}, {_DF} SELECT DISTINCT term, round({_IDF} * (max_tf * 2.5::DOUBLE) / (max_tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (min_len / avgdl))), 6) AS bound FROM q JOIN df USING (term) CROSS JOIN c")
+def bm25_upper_bounds(spark, d):
+    return lexical.upper_bounds(doc_tokens(spark, d), text_queries(spark, d)).withColumn("bound", r6(F.col("bound")))
+
+
+@query(f"WITH {_bm25()} {_top('s')}")
+def bm25_topk_pruned(spark, d):
+    return hits(top_k(lexical.bm25_pruned(doc_tokens(spark, d), text_queries(spark, d), K), K, ["query_id"], positive=True))
+
+
+# --- learned sparse ---------------------------------------------------------------------------------------
+
+
+def _sparse_docs(spark, d):
+    v = vectors(spark, d)
+    return sparse.build(v.select("doc_id", F.transform("embedding", lambda x, i: i.cast("bigint")).alias("terms"), F.col("embedding").alias("weights")))
+
+
+def _sparse_queries(spark, d):
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.posexplode("embedding").alias("term", "weight"))
+    q = q.select("query_id", F.col("term").cast("bigint").alias("term"), "weight")
+    return q.union(q.filter("weight > 0"))  # positive terms twice: they're summed
+
+
+_SPARSE = "u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS w, (generate_subscripts(embedding, 1) - 1)::BIGINT AS term FROM embeddings), p AS (SELECT vec_id AS doc_id, term, w FROM u WHERE w > 0), q AS (SELECT vec_id AS query_id, term, CASE WHEN w > 0 THEN 2 * w ELSE w END AS qw FROM u WHERE w <> 0), f AS (SELECT query_id, doc_id, sum(qw * w) AS score FROM p JOIN q USING (term) GROUP BY ALL)"
+
+
+@query(f"WITH {_SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM p")
+def sparse_build(spark, d):
+    return _sparse_docs(spark, d).withColumn("weight", r6(F.col("weight")))
+
+
+@query(f"WITH {_SPARSE} SELECT query_id, term, round(qw, 6) AS weight FROM q")
+def sparse_fold_query(spark, d):
+    return sparse.fold(_sparse_queries(spark, d)).withColumn("weight", r6(F.col("weight")))
+
+
+@query(f"WITH {_SPARSE} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM f")
+def sparse_scores(spark, d):
+    return sparse.scores(_sparse_docs(spark, d), _sparse_queries(spark, d)).withColumn("score", r6(F.col("score")))
+
+
+@query(f"WITH {_SPARSE} {_top('(SELECT * FROM f WHERE score > 0)')}")
+def sparse_topk(spark, d):
+    return hits(top_k(sparse.scores(_sparse_docs(spark, d), _sparse_queries(spark, d)), K, ["query_id"], positive=True))
+
+
+@query("WITH u AS (SELECT vec_id // 8 AS doc_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::BIGINT AS term FROM embeddings) SELECT doc_id, term, round(ln(1 + max(x)), 6) AS weight FROM u GROUP BY ALL HAVING max(x) > 0")
+def splade_pool(spark, d):
+    logits = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.posexplode("embedding").alias("term", "logit"))
+    pooled = sparse.splade_pool(logits.select("doc_id", F.col("term").cast("bigint").alias("term"), F.col("logit").cast("double").alias("logit")))
+    return pooled.withColumn("weight", r6(F.col("weight")))
+
+
+# --- dense ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_FLAT} {_top('f')}")
+def flat_topk(spark, d):
+    return hits(D.flat_top_k(vectors(spark, d), vector_queries(spark, d), K))
+
+
+@query(f"WITH {_FLAT} {_top('(SELECT f.* FROM f JOIN embeddings ON vec_id = doc_id WHERE label < 5)')}")
+def flat_topk_filter(spark, d):
+    return hits(D.flat_top_k(vectors(spark, d), vector_queries(spark, d), K, keep=F.col("label") < 5))
+
+
+@query(f"WITH {_ITEM_FLAT} {_top('f', None)}")
+def flat_all_sorted(spark, d):
+    return hits(D.flat_top_k(vectors(spark, d), item_vectors(spark, d), 0))
+
+
+@query(f"WITH {_I8} SELECT vec_id AS doc_id, array_to_string(codes, ',') AS codes, round(scale, 9) AS scale FROM i8")
+def i8_quantize(spark, d):
+    i = D.build_i8(vectors(spark, d), DIM)
+    return i.select("doc_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round("scale", 9).alias("scale"))
+
+
+@query(f"WITH {_I8} SELECT vec_id AS doc_id, round(list_sum(list_transform(codes, lambda c: c * scale)), 6) + 0 AS total FROM i8")
+def i8_dequantize(spark, d):
+    i = D.build_i8(vectors(spark, d), DIM).withColumn("v", V.dequantize(F.col("codes"), F.col("scale")))
+    return i.select("doc_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(f"WITH {_I8_SCORES} {_top('f')}")
+def i8_topk(spark, d):
+    return hits(D.i8_top_k(D.build_i8(vectors(spark, d), DIM), vector_queries(spark, d), K, DIM))
+
+
+@query(f"WITH {_I8_SCORES} {_top('(SELECT f.* FROM f JOIN embeddings ON vec_id = doc_id WHERE label < 5)')}")
+def i8_topk_filter(spark, d):
+    return hits(D.i8_top_k(D.build_i8(vectors(spark, d).filter("label < 5"), DIM), vector_queries(spark, d), K, DIM))
+
+
+@query(f"WITH {_I8_SCORES} {_top('f')}")
+def i8_shard_merge(spark, d):
+    low, high = (D.i8_top_k(D.build_i8(vectors(spark, d).filter(f"label {side} 5"), DIM), vector_queries(spark, d), K, DIM) for side in ("<", ">="))
+    return hits(top_k(low.unionByName(high).drop("rank"), K, ["query_id"]))
+
+
+@query(f"WITH {_CENTER} SELECT pos::INTEGER AS pos, round(mean, 9) + 0 AS mean FROM m")
+def corpus_center(spark, d):
+    return D.center(vectors(spark, d), DIM).select(F.posexplode("center").alias("pos", "mean")).withColumn("mean", F.col("mean") + F.lit(0.0))
+
+
+@query(f"WITH {_BITS} SELECT vec_id AS doc_id, len(list_filter(bits, lambda x: x))::INTEGER AS ones FROM b")
+def sign_bits(spark, d):
+    i = D.build_binary(vectors(spark, d), DIM)
+    return i.select("doc_id", F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("ones"))
+
+
+@query(f"WITH {_NEAR} SELECT query_id, doc_id, distance::INTEGER AS distance FROM n")
+def hamming_topk(spark, d):
+    v = vectors(spark, d)
+    return D.binary_candidates(D.build_binary(v, DIM), v, vector_queries(spark, d), K, DIM).select("query_id", "doc_id", "distance")
+
+
+@query(f"WITH {_NEAR}, {_FLAT} {_top('(SELECT f.* FROM f JOIN n USING (query_id, doc_id))')}")
+def binary_topk(spark, d):
+    return hits(D.binary_top_k(vectors(spark, d), vector_queries(spark, d), K, DIM))
+
+
+@query(f"WITH {_NEAR}, {_I8_SCORES} {_top('(SELECT f.* FROM f JOIN n USING (query_id, doc_id))')}")
+def binary_i8_topk(spark, d):
+    return hits(D.binary_top_k(vectors(spark, d), vector_queries(spark, d), K, DIM, rerank="i8"))
+
+
+@query(f"WITH {_NEAR}, {_FLAT}, x AS ({_top('f')}), a AS ({_top('(SELECT f.* FROM f JOIN n USING (query_id, doc_id))')}) SELECT x.query_id, count(a.doc_id) / count(*)::DOUBLE AS recall FROM x LEFT JOIN a USING (query_id, doc_id) GROUP BY x.query_id")
+def binary_recall(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    return D.recall(D.binary_top_k(v, q, K, DIM), D.flat_top_k(v, q, K))
+
+
+# --- fusion -----------------------------------------------------------------------------------------------
+
+
+def _lists(spark, d, shortlist=50):
+    dense = D.flat_top_k(vectors(spark, d), item_vectors(spark, d), shortlist)
+    words = top_k(lexical.bm25(doc_tokens(spark, d), text_queries(spark, d)), shortlist, ["query_id"], positive=True)
+    return [dense, words]
+
+
+_BOTH = f"WITH {_bm25()}, {_ITEM_FLAT}, l AS (SELECT 0 AS li, * FROM ({_top('f', 50)}) UNION ALL SELECT 1 AS li, * FROM ({_top('s', 50)})), raw AS (SELECT 0 AS li, query_id, doc_id, score FROM f UNION ALL SELECT 1, query_id, doc_id, score FROM s), e AS (SELECT l.li, l.query_id, l.doc_id, l.rank, raw.score FROM l JOIN raw USING (li, query_id, doc_id))"
+
+
+def _fusion(part: str) -> str:
+    return f"{_BOTH}, w AS (SELECT *, min(score) OVER (PARTITION BY query_id, li) AS lo, max(score) OVER (PARTITION BY query_id, li) AS hi FROM e), g AS (SELECT query_id, doc_id, sum({part}) AS score, min(li * 1000 + rank) AS seen FROM w GROUP BY ALL) SELECT query_id, doc_id, round(score, 6) + 0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM g"
+
+
+_SCALED = "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1::DOUBLE END"
+
+
+@query(_fusion("1::DOUBLE / (60 + rank)"))
+def rrf(spark, d):
+    return hits(fuse.rrf(_lists(spark, d)))
+
+
+@query(_fusion("CASE li WHEN 0 THEN 1::DOUBLE ELSE 3::DOUBLE END / (60 + rank)"))
+def rrf_weighted(spark, d):
+    return hits(fuse.rrf(_lists(spark, d), weights=[1, 3]))
+
+
+@query(_fusion(_SCALED))
+def rsf(spark, d):
+    return hits(fuse.rsf(_lists(spark, d)))
+
+
+@query(_fusion(f"CASE li WHEN 0 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END * {_SCALED}"))
+def rsf_weighted(spark, d):
+    return hits(fuse.rsf(_lists(spark, d), weights=[0.3, 0.7]))
+
+
+@query(_fusion("1::DOUBLE / (60 + rank)"))
+def hybrid_rrf(spark, d):
+    return hits(fuse.hybrid(*_lists(spark, d), 50))
+
+
+@query(f"SELECT z.*, lang, n_chars FROM ({_fusion('1::DOUBLE / (60 + rank)')}) z JOIN documents USING (doc_id)")
+def rag_pipeline(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return hits(fuse.hybrid(*_lists(spark, d), 50)).join(docs, "doc_id").select("query_id", "doc_id", "score", "rank", "lang", "n_chars")
+
+
+_DELTA = f"WITH {_FLAT}, o AS (SELECT f.*, CASE WHEN label < 8 THEN 0 ELSE 1 END AS li FROM f JOIN embeddings ON vec_id = doc_id), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, li ORDER BY round(score, 9) DESC, doc_id) AS rank FROM o) WHERE rank <= {K}), g AS (SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) AS score, li * 1000 + rank AS seen FROM l) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM g"
+
+
+@query(_DELTA)
+def base_delta_fuse(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    return hits(fuse.rrf([D.flat_top_k(v, q, K, keep=F.col("label") < 8), D.flat_top_k(v, q, K, keep=F.col("label") >= 8)]))
+
+
+# --- late interaction -------------------------------------------------------------------------------------
+
+
+def _matrices(spark, d):
+    e = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
+    return e.select("doc_id", F.transform("m", lambda s: s["embedding"]).alias("matrix"))
+
+
+def _max_sim(spark, d):
+    m = _matrices(spark, d)
+    q = m.select(F.col("doc_id").alias("query_id"), F.col("matrix").alias("qm"))
+    return m.crossJoin(q).select("query_id", "doc_id", V.max_sim(F.col("qm"), F.col("matrix")).alias("score"))
+
+
+_MAXSIM = f"{_FLAT}, x AS (SELECT query_id // 8 AS query_id, query_id AS token, doc_id // 8 AS doc_id, max(score) AS best FROM f GROUP BY ALL), s AS (SELECT query_id, doc_id, sum(best) AS score FROM x GROUP BY ALL)"
+
+
+@query(f"WITH {_MAXSIM} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM s")
+def maxsim_scores(spark, d):
+    return _max_sim(spark, d).withColumn("score", r6(F.col("score")))
+
+
+@query(f"WITH {_MAXSIM} {_top('s')}")
+def maxsim_topk(spark, d):
+    return hits(top_k(_max_sim(spark, d), K, ["query_id"]))
+
+
+# --- vectors and matrices in columns ----------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) + 0 AS total FROM embeddings")
+def l2_normalize(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("v"))
+    return e.select("vec_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) + 0 AS total FROM t")
+def mrl_truncate(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", V.truncate(F.col("embedding"), 16).alias("v"))
+    return e.select("vec_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), g AS (SELECT vec_id, (i // 32)::INTEGER AS grp, max(abs(x)) AS m, list(x ORDER BY i) AS v FROM u GROUP BY ALL) SELECT vec_id, grp, array_to_string(list_transform(v, lambda x: round(x / (m / 7::DOUBLE))::INTEGER + 8), ',') AS codes, round(m / 7::DOUBLE, 9) AS scale FROM g")
+def i4_quantize(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.quantize_i4(F.col("embedding"), 32)).alias("grp", "g"))
+    return e.select("vec_id", "grp", F.array_join(F.col("g.codes").cast("array<string>"), ",").alias("codes"), F.round("g.scale", 9).alias("scale"))
+
+
+@query(f"WITH {_FLAT}, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM f) SELECT query_id, doc_id, round(e / sum(e) OVER (PARTITION BY query_id), 6) AS p FROM e")
+def softmax_rows(spark, d):
+    w = Window.partitionBy("query_id")
+    f = D.flat(vectors(spark, d), vector_queries(spark, d)).withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+    return f.select("query_id", "doc_id", r6(F.col("e") / F.sum("e").over(w)).alias("p"))
+
+
+@query("WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings), s AS (SELECT vec_id, avg(x) AS mu, var_pop(x) AS var FROM u GROUP BY vec_id) SELECT vec_id, i, round((x - mu) / sqrt(var + 1e-5), 6) + 0 AS y FROM u JOIN s USING (vec_id)")
+def layernorm_rows(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.size("embedding")
+    mean = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")) / n
+    e = e.withColumn("mu", mean)
+    e = e.withColumn("sd", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x.cast("double") - F.col("mu")) * (x.cast("double") - F.col("mu"))) / n + F.lit(1e-5)))
+    return e.select("vec_id", "mu", "sd", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", r6((F.col("x").cast("double") - F.col("mu")) / F.col("sd")).alias("y"))
+
+
+@query("WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings) SELECT label, i, round(avg(x), 6) + 0 AS mean FROM u GROUP BY ALL")
+def pool_mean(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return e.groupBy("label", "i").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
+
+
+@query("SELECT label, arg_min(vec_id, vec_id) AS vec_id, round(arg_min(embedding[1], vec_id)::DOUBLE, 6) AS first FROM embeddings GROUP BY label")
+def pool_cls(spark, d):
+    e = table(spark, d, "embeddings").groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("m"))
+    return e.select("label", F.col("m.vec_id").alias("vec_id"), r6(F.col("m.embedding")[0].cast("double")).alias("first"))
+
+
+@query("WITH u AS (SELECT vec_id // 8 AS m, vec_id % 8 AS r, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT a.m AS m, a.r AS i, b.r AS j, round(sum(a.x * b.x), 6) + 0 AS c FROM u a JOIN u b ON a.m = b.m AND a.k = b.k GROUP BY ALL")
+def matmul_bt(spark, d):
+    u = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("m"), (F.col("vec_id") % 8).alias("r"), F.posexplode("embedding").alias("k", "x"))
+    a, b = u.select("m", "k", F.col("r").alias("i"), F.col("x").cast("double").alias("a")), u.select("m", "k", F.col("r").alias("j"), F.col("x").cast("double").alias("b"))
+    return a.join(b, ["m", "k"]).groupBy("m", "i", "j").agg(r6(F.sum(F.col("a") * F.col("b"))).alias("c"))
+
+
+# --- text preparation -------------------------------------------------------------------------------------
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+')) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word""")
+def bert_pretokenize(spark, d):
+    return table(spark, d, "documents").select(F.explode(T.bert_pretokenize(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH t AS (SELECT doc_id, list_transform({_TOK}, lambda w: len(w)) AS ids FROM documents) SELECT doc_id, array_to_string(list_concat([101], ids[1:126], [102]), ' ') AS ids FROM t")
+def wrap_truncate(spark, d):
+    ids = F.transform(T.tokenize_plain(F.col("text")), lambda w: F.length(w))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.wrap_truncate(ids, 101, 102, 128).cast("array<string>"), " ").alias("ids"))
+
+
+@query(f"WITH b AS (SELECT item_id, len({_TOK}) AS n FROM benchmark), t AS (SELECT doc_id, len({_TOK}) AS m FROM documents) SELECT item_id, doc_id, (CASE WHEN n + m <= 61 OR n <= 31 THEN n WHEN m <= 30 THEN 61 - m ELSE 31 END)::INTEGER AS q, (CASE WHEN n + m <= 61 THEN m WHEN n <= 31 THEN 61 - n WHEN m <= 30 THEN m ELSE 30 END)::INTEGER AS d FROM b CROSS JOIN t")
+def pair_truncate(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", T.tokenize_plain(F.col("text")).alias("q"))
+    both = b.crossJoin(table(spark, d, "documents").select("doc_id", T.tokenize_plain(F.col("text")).alias("d"))).select("item_id", "doc_id", T.pair_truncate(F.col("q"), F.col("d"), 64).alias("p"))
+    return both.select("item_id", "doc_id", F.size("p.query").alias("q"), F.size("p.doc").alias("d"))
+
+
+_PATHS = "p AS (SELECT page_id, 'site/page' || page_id || CASE page_id % 6 WHEN 0 THEN '.PY' WHEN 1 THEN '.tsx' WHEN 2 THEN '.md' WHEN 3 THEN '.unknown' WHEN 4 THEN '/Dockerfile' ELSE '.rs' END AS path FROM pages)"
+
+
+@query(f"WITH {_PATHS} SELECT page_id, path, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'markdown' WHEN 3 THEN '' WHEN 4 THEN 'dockerfile' ELSE 'rust' END AS language, page_id % 6 = 2 AS markdown FROM p")
+def lang_detect(spark, d):
+    ends = F.array(*[F.lit(x) for x in (".PY", ".tsx", ".md", ".unknown", "/Dockerfile", ".rs")])
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("site/page"), "page_id", F.element_at(ends, (F.col("page_id") % 6 + 1).cast("int"))).alias("path"))
+    return p.select("page_id", "path", T.language(F.col("path")).alias("language"), T.is_markdown(F.col("path")).alias("markdown"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (i = 50 * (n - 1) // 100) AS p50, max(value) FILTER (i = 95 * (n - 1) // 100) AS p95 FROM r GROUP BY event_type")
+def percentile_nearest_rank(spark, d):
+    return E.percentiles(table(spark, d, "events"), ["event_type"], "value", [50, 95])
+
+
+@query(f"WITH {_FLAT}, x AS ({_top('f')}), q AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.label = b.label), g AS (SELECT x.query_id, sum(1 / log2(rank + 1)) AS dcg FROM x JOIN q USING (query_id, doc_id) GROUP BY 1), i AS (SELECT query_id, sum(1 / log2(rn + 1)) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rn FROM q) WHERE rn <= 10 GROUP BY 1) SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM i LEFT JOIN g USING (query_id)")
+def ndcg_at_10(spark, d):
+    e = table(spark, d, "embeddings")
+    rels = e.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    return E.ndcg(D.flat_top_k(vectors(spark, d), vector_queries(spark, d), K), rels).withColumn("ndcg", r6(F.col("ndcg")))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def report_latest(spark, d):
+    return E.latest(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+def _bench(spark, d):
+    o = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("workload"), F.col("l_linenumber").alias("batch"), F.col("l_linestatus").alias("backend"))
+    return o.agg(F.round(F.sum("l_quantity"), 2).alias("qps"))
+
+
+_BENCH = "b AS (SELECT l_returnflag AS workload, l_linenumber AS batch, l_linestatus AS backend, round(sum(l_quantity), 2) AS qps FROM lineitem GROUP BY ALL), s AS (SELECT b.workload, b.batch, b.backend, b.qps / c.qps AS speedup FROM b JOIN b c ON b.workload = c.workload AND b.batch = c.batch AND c.backend = 'O')"
+
+
+@query(f"WITH {_BENCH} SELECT workload, batch, backend, round(speedup, 6) AS speedup FROM s")
+def report_speedup(spark, d):
+    return E.speedups(_bench(spark, d), ["workload", "batch"], "backend", "qps", "O").withColumn("speedup", r6(F.col("speedup")))
+
+
+@query(f"WITH {_BENCH} SELECT workload, backend, min(batch) FILTER (speedup >= 1) AS crossover FROM s GROUP BY ALL")
+def report_crossover(spark, d):
+    return E.crossover(E.speedups(_bench(spark, d), ["workload", "batch"], "backend", "qps", "O"), ["workload", "backend"], "batch")
+
+
+# --- operators whose state or sequence SQL can't express ---------------------------------------------------
+
+
+@query()
+def hnsw_topk(spark, d):
+    return hits(graph.search(graph.build(vectors(spark, d)), vector_queries(spark, d), K))
+
+
+@query(f"WITH {_FLAT} SELECT vec_id AS query_id, TRUE AS good FROM embeddings")
+def hnsw_recall_gate(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    each = D.recall(graph.search(graph.build(v), q, K, ef=128), D.flat_top_k(v, q, K))
+    mean = each.agg(F.avg("recall").alias("mean"))
+    return each.crossJoin(mean).select("query_id", (F.col("mean") >= 0.9).alias("good"))
+
+
+@query()
+def hnsw_topk_filter(spark, d):
+    return hits(graph.search(graph.build(vectors(spark, d)), vector_queries(spark, d), K, keep=lambda ids: ids % 2 == 0))
+
+
+_C4 = r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines FROM documents WHERE text <> ''), w AS (SELECT doc_id, lines, len(lines)::INTEGER AS n, unnest(range(0, greatest(len(lines) - 5, 1)::BIGINT, 45)) AS s FROM l)
+ SELECT doc_id, (s // 45)::INTEGER AS chunk_idx, (s + 1)::INTEGER AS start_line, least(s + 50, n)::INTEGER AS end_line, array_to_string(lines[s + 1:s + 50], '') AS text FROM w"""
+
+
+@query(_C4)
+def chunk_line(spark, d):
+    return chunk.line_windows(table(spark, d, "documents"))
+
+
+@query()
+def chunk_regex(spark, d):
+    p = table(spark, d, "pages").select(F.concat("url", F.lit(".ts")).alias("file"), F.col("html").alias("source"))
+    return chunk.chunk_files(p, "regex")
+
+
+@query()
+def chunk_markdown(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.col("text").alias("source"))
+    return chunk.chunk_files(docs, "markdown")
+
+
+@query("SELECT 'regex' AS chunker, CASE page_id % 2 WHEN 0 THEN 'none' ELSE 'unsupported' END AS fallback, count(*) AS n FROM pages GROUP BY ALL")
+def chunk_fallback_stats(spark, d):
+    ext = F.when(F.col("page_id") % 2 == 0, F.lit(".go")).otherwise(F.lit(".unknown"))
+    files = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), ext).alias("file"))
+    return chunk.fallback_stats(files, "regex")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def tombstone_filter(spark, d):
+    dead = table(spark, d, "labels").filter("quality = 0")
+    return chunk.live(table(spark, d, "documents"), dead, "doc_id").select("doc_id", "lang")
+
+
+@query()
+def wordpiece(spark, d):
+    return subword.wordpiece(table(spark, d, "documents"), subword.sample_vocabulary())
+
+
+@query()
+def unigram(spark, d):
+    return subword.unigram(table(spark, d, "documents"), subword.sample_scores())
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents), u AS (SELECT doc_id, unnest(list_transform(w, lambda x: len(x))) AS id FROM t), v AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT doc_id, pos, sum(x) / count(*) AS y FROM u JOIN v USING (id) GROUP BY ALL) SELECT doc_id, pos::INTEGER AS pos, round(y / sqrt(sum(y * y) OVER (PARTITION BY doc_id)), 6) + 0 AS y FROM m")
+def static_embed(spark, d):
+    ids = table(spark, d, "documents").select("doc_id", F.transform(T.tokenize_plain(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    vocab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(1.0).alias("weight"))
+    return encode.static_embed(ids, vocab).withColumn("y", r6(F.col("y")))
