@@ -111,10 +111,10 @@ def quantized(v: np.ndarray) -> np.ndarray:
 
 
 def build(vectors: DataFrame, m: int = 16, build_ef: int = 200, int8: bool = False, heuristic: bool = True, shards: int | None = None, seed: int = 1) -> DataFrame:
-    """(version, shard, graph): a table to be written once and searched often."""
+    """(version, shard, graph): to be written or persisted once and searched often."""
     shards = shards or max(1, -(-vectors.count() // SHARD_ROWS))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         rows = pdf["embedding"].tolist()
         dim = len(rows[0])
@@ -130,25 +130,18 @@ def build(vectors: DataFrame, m: int = 16, build_ef: int = 200, int8: bool = Fal
 def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, keep=None) -> DataFrame:
     """The k best for each query.  keep takes an array of ids and says which may be returned; k <= 0 gives nothing."""
 
-    def run(batches):
-        for pdf in batches:
-            out, graph, of = [], None, None
-            for shard, version, blob, qid, q in zip(pdf["shard"], pdf["version"], pdf["graph"], pdf["query_id"], pdf["query"]):
-                if version != VERSION:
-                    raise ValueError(f"unknown graph version {version}")
-                if of != shard:
-                    graph, of = pickle.loads(blob), shard
-                    alive = None if keep is None else np.asarray(keep(graph.ids), bool)
-                out += [(qid, i, s) for i, s in graph.query(np.asarray(q, np.float32), k, ef, alive)]
-            yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
-
     def per_shard(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(asked):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        both = asked.assign(version=held["version"].iloc[0], graph=[held["graph"].iloc[0]] * len(asked))
-        return pd.concat(run([both]))
+        out = []
+        if len(held):
+            if held["version"].iloc[0] != VERSION:
+                raise ValueError(f"unknown graph version {held['version'].iloc[0]}")
+            graph = pickle.loads(held["graph"].iloc[0])
+            alive = None if keep is None else np.asarray(keep(graph.ids), bool)
+            for qid, q in zip(asked["query_id"], asked["query"]):
+                out += [(qid, i, s) for i, s in graph.query(np.asarray(q, np.float32), k, ef, alive)]
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
-    shards = graphs.select("shard").distinct()
+    shards = graphs.select(F.col("shard").alias("to")).distinct()
     sent = queries.select("query_id", "query").crossJoin(shards)
-    found = graphs.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(per_shard, "query_id bigint, doc_id bigint, score double")
+    found = graphs.groupBy("shard").cogroup(sent.groupBy("to")).applyInPandas(per_shard, "query_id bigint, doc_id bigint, score double")
     return top_k(found, k, ["query_id"])

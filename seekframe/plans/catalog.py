@@ -523,20 +523,20 @@ def report_crossover(spark, d):
 
 @query()
 def hnsw_topk(spark, d):
-    return hits(graph.search(graph.build(vectors(spark, d)), vector_queries(spark, d), K))
+    return hits(graph.search(graph.build(vectors(spark, d)).persist(), vector_queries(spark, d), K))
 
 
 @query(f"WITH {_FLAT} SELECT vec_id AS query_id, TRUE AS good FROM embeddings")
 def hnsw_recall_gate(spark, d):
     v, q = vectors(spark, d), vector_queries(spark, d)
-    each = D.recall(graph.search(graph.build(v), q, K, ef=128), D.flat_top_k(v, q, K))
+    each = D.recall(graph.search(graph.build(v).persist(), q, K, ef=128), D.flat_top_k(v, q, K))
     mean = each.agg(F.avg("recall").alias("mean"))
     return each.crossJoin(mean).select("query_id", (F.col("mean") >= 0.9).alias("good"))
 
 
 @query()
 def hnsw_topk_filter(spark, d):
-    return hits(graph.search(graph.build(vectors(spark, d)), vector_queries(spark, d), K, keep=lambda ids: ids % 2 == 0))
+    return hits(graph.search(graph.build(vectors(spark, d)).persist(), vector_queries(spark, d), K, keep=lambda ids: ids % 2 == 0))
 
 
 _C4 = r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines FROM documents WHERE text <> ''), w AS (SELECT doc_id, lines, len(lines)::INTEGER AS n, unnest(range(0, greatest(len(lines) - 5, 1)::BIGINT, 45)) AS s FROM l)
