@@ -271,7 +271,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         last = np.append(cut[1:], len(doc)) - 1 if len(doc) else cut
         return pd.DataFrame({"doc_id": doc[cut], "lo": place[cut], "hi": place[last] + least, "first_id": first[cut]})
 
-    sent = narrow.join(wanted.side(), "doc_id").mapInPandas(segments, _SEGMENTS)
+    sent = narrow.join(wanted.df.hint("merge"), "doc_id").mapInPandas(segments, _SEGMENTS)
     hits = Table(sent.groupBy("shard").applyInPandas(search, _FOUND), "repeats")
     wanted.drop()
     in_doc = Window.partitionBy("doc_id").orderBy("lo", "hi", "first_id")
