@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+from collections import Counter
 from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, ngram_names, packed, shuffle_partitions, slices, unpacked, words_of
@@ -38,6 +40,7 @@ SHARD_POSTINGS = 400_000
 HEAP_ENTRIES = 2048
 
 _EPS = 1e-9
+_WORDS = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
 def need(size: int, threshold: float) -> int:
@@ -269,34 +272,70 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return star.unionByName(found).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def near_groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id) of every document that is joined, through any chain of pairs, to one with a smaller id.
+#: From this similarity on, a joined pair is a near copy.  Below, what both texts hold besides common lines has to confirm it.
+STRONG = 0.5
+#: The least similarity of the word pairs of two texts, without the lines that both hold, that confirms a near copy.
+LEAST_REST = 0.25
 
-    Connected components by alternating large-star and small-star steps until nothing changes; the number of
-    steps grows with the logarithm of the longest chain.
+
+def alike_beside_lines(a: str, b: str) -> bool:
+    """Whether two texts are alike in more than some lines that both hold as they are."""
+    common = {x.strip() for x in a.split("\n")} & {x.strip() for x in b.split("\n")}
+    left = []
+    for text in (a, b):
+        words = [w for x in text.split("\n") if x.strip() not in common for w in _WORDS.findall(x.lower())]
+        left.append(Counter(zip(words, words[1:])))
+    either = sum((left[0] | left[1]).values())
+    return not either or sum((left[0] & left[1]).values()) >= LEAST_REST * either
+
+
+def near_copies(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id) of every document that is a near copy of one that is kept, given the joined pairs and (id, text).
+
+    In the order of ids a document is dropped if it's a near copy of a smaller one that is kept, never through a chain.
+    Each round keeps the documents without an open pair to a smaller one, drops their near copies, and settles
+    the pairs of both.  Documents with identical sets of grams stand or fall together: the pairs of the least id are theirs.
     """
-    edges = Table(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).distinct(), "star")
-    while True:
-        both = edges.df.unionByName(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter("u <> v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = down.withColumn("m", low)
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        new = Table(small, "star")
-        same = new.df.count() == edges.df.count() and new.df.select("u", "v").exceptAll(edges.df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).isEmpty()
-        edges.drop()
-        edges = new
-        if same:
-            return edges.df.select(F.col("u").alias("doc_id"), F.col("v").alias("keep_id"))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike_beside_lines(x, y) for x, y in zip(a, b)], dtype="bool")
+
+    texts = texts.filter("text is not null")
+    gone = pairs.filter("jaccard >= 1").select(F.col("doc_b").alias("id"))
+    left = Table(pairs.filter("jaccard < 1").select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"), (F.col("jaccard") >= STRONG - _EPS).alias("strong")), "near-left")
+    while not left.df.isEmpty():
+        kept = left.df.select("u").distinct().join(left.df.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        now = Table(left.df.join(kept, "u", "left_semi"), "near-now")
+        sure = now.df.filter("strong").select("v").distinct()
+        weak = Table(now.df.filter("not strong").join(sure, "v", "left_anti").select("u", "v"), "near-weak")
+        dropped = sure
+        if not weak.df.isEmpty():
+            first = texts.join(weak.side(), F.col("id") == F.col("u")).select("v", F.col("text").alias("a"))
+            second = texts.join(weak.side().select("v").distinct(), F.col("id") == F.col("v"), "left_semi")
+            dropped = sure.unionByName(first.join(second, F.col("id") == F.col("v")).filter(alike("a", "text")).select("v").distinct())
+        dropped = Table(dropped, "near-dropped")
+        weak.drop()
+        gone = gone.unionByName(dropped.df.select(F.col("v").alias("id")))
+        done = dropped.df.unionByName(now.df.select(F.col("u").alias("v"))).distinct()
+        rest = left.df.join(done.withColumnRenamed("v", "u"), "u", "left_anti").join(dropped.df, "v", "left_anti")
+        new = Table(rest.select("u", "v", "strong"), "near-left")
+        now.drop()
+        left.drop()
+        left = new
+    left.drop()
+    return gone.distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of near copies, the one with the least id, and all its columns.
+    """docs without the near copies of documents that stay, with all columns.
 
-    A group is a connected component of the join.  Rows repeated under one id are one document and stay or go
+    A near copy is joined to a document with a smaller id that stays, and its similarity to it is STRONG or more, or they are
+    alike in more than lines that both hold; see near_copies().  Rows repeated under one id are one document and stay or go
     together; rows with a null id stay.  The other cases are as in ngram_jaccard_join().
     """
-    gone = Table(near_groups(ngram_jaccard_join(docs, id_col, text_col, n, threshold)).select(F.col("doc_id").alias("id")), "near-gone")
+    pairs = Table(ngram_jaccard_join(docs, id_col, text_col, n, threshold), "near-pairs")
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    gone = Table(near_copies(pairs.df, texts), "near-gone")
+    pairs.drop()
     return unpacked(packed(docs).join(gone.side(), F.col("row").getField(id_col).cast("bigint") == F.col("id"), "left_anti"), docs)

@@ -107,6 +107,24 @@ def test_join_of_documents_equals_brute_force(spark):
     assert {frozenset({lead[frozenset(sets[a])], lead[frozenset(sets[b])]}) for a, b in near if lead[frozenset(sets[a])] != lead[frozenset(sets[b])]} == {f for f in found if len({frozenset(sets[x]) for x in f}) == 2}
 
 
+def test_near_stage_keeps_documents_that_share_only_lines(spark):
+    r = random.Random(8)
+    line, base = words(r, 13, 10**6), words(r, 60, 10**6).split()
+    other = lambda k: words(r, k, 10**6)
+    # 1 and 2 share a line with 3 only; 11 to 13 are a chain of which only neighbours are near copies
+    rows = [(1, other(5) + "\n" + line + "\n" + other(6)), (2, line + "\n" + other(11)), (3, line + "\n" + other(5))]
+    rows += [(11, " ".join(base[:48])), (12, " ".join(base[6:54])), (13, " ".join(base[12:60] + other(14).split())), (14, " ".join(base[:24] + ["changed"] + base[25:36] + ["changed"] + base[37:48]))]
+    sets = {i: grams(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(alike(1, 3), alike(2, 3)) >= njoin.THRESHOLD and alike(12, 13) >= njoin.STRONG and alike(11, 12) >= njoin.STRONG and alike(11, 13) > njoin.THRESHOLD - 0.1
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {x["doc_id"] for x in njoin.near_dedup(d).collect()}
+    assert {1, 2, 3, 11} <= kept and not {12, 14} & kept
+    copied = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.7), (3, 4, 0.8), (2, 5, 1.0), (7, 8, 0.4), (7, 9, 0.45)], "doc_a bigint, doc_b bigint, jaccard double")
+    texts = spark.createDataFrame([(7, "a b c d\ne f g h"), (8, "a b c d\nw x y z"), (9, "a b c d e f g k")], "id bigint, text string")
+    assert {x["id"] for x in njoin.near_copies(copied, texts).collect()} == {2, 4, 5, 9}
+
+
 def test_divide_skip_equals_counting():
     r = random.Random(0)
     sets = [sorted(r.sample(range(200), r.randrange(1, 60))) for _ in range(80)]
