@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-A candidate block is compressed alone and with each template as a zstandard raw dictionary; the templates are ranked by how much smaller
-they make it.  A winner is confirmed by the exact differences in wording between it and the best-matching stretch
-of the block: nothing may be missing or added but what its open places ({year}, {holder}) take up, or the match is reported as modified.
+The words around each cue of a candidate block are compressed alone and with each template as a zstandard raw dictionary; the templates
+are ranked by how much smaller they make them.  These windows reach as far as a template may, so what is found doesn't depend on how long
+a line or block is.  A winner is confirmed by the exact differences in wording between it and the best-matching stretch
+of the window: nothing may be missing or added but what its open places ({year}, {holder}) take up, or the match is reported as modified.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import deque
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -57,8 +60,11 @@ GAP_LINES = 3
 LEAST_SHARE = 0.75
 #: How many of the templates ranked by size reduction are confirmed by wording.
 CONFIRMED = 5
-#: A template that takes less than this share off the block's compressed size explains none of it.
+#: A template that takes less than this share, and fewer than so many bytes, off a window's compressed size explains none of it.
 LEAST_GAIN = 0.05
+LEAST_BYTES = 8
+#: Templates of up to so many words share a window, and those above the last.
+WINDOWS = (8, 24)
 
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"\{\w+\}|[^\W_]+(?:[.'-][^\W_]+)*")
@@ -87,12 +93,19 @@ class Scanner:
         for name, body in templates:
             raw = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, body, zstandard.ZstdCompressor(level=level, dict_data=raw), [w.lower() for w in _WORD.findall(body)]))
-
-    def ranked(self, data: bytes) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), the greatest saving first; a tie goes to the first template."""
+        # (words to each side of a cue, templates): a template's own words, what its open places take up, and some added ones
+        self.windows = []
+        for k in range(len(WINDOWS) + 1):
+            some = [i for i, t in enumerate(self.templates) if bisect_left(WINDOWS, len(t[3])) == k]
+            if some:
+                reach = max(len(t) + len(t) // 4 + 8 * sum(w[0] == "{" for w in t) + 4 for t in (self.templates[i][3] for i in some))
+                self.windows.append((reach, some))
+
+    def ranked(self, data: bytes, some: list[int]) -> list[tuple[float, int]]:
+        """(share of the compressed size saved, template) of some templates, the greatest saving first; a tie goes to the first template."""
         alone = len(self.alone.compress(data))
-        gains = [((alone - len(c.compress(data))) / alone, i) for i, (_, _, c, _) in enumerate(self.templates)]
-        return sorted(gains, key=lambda g: (-g[0], g[1]))
+        saved = [(alone - len(self.templates[i][2].compress(data)), i) for i in some]
+        return sorted(((n / alone, i) for n, i in saved if n >= LEAST_BYTES or n >= LEAST_GAIN * alone), key=lambda g: (-g[0], g[1]))
 
     def differences(self, template: int, words: list[tuple[str, int, int]]):
         """(words of the template found, missing, added, first, last) in the stretch that fits it best."""
@@ -123,30 +136,37 @@ class Scanner:
 
     def scan_block(self, block: str):
         """(license, gain, share, missing, added, start, end) of each license of a block, from the best explained on."""
-        out, taken = [], []
+        out = []
         words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
-        work = [(0, len(words))]
+        starts = [w[1] for w in words]
+        # (first word, word after the last) of what is explained, in order
+        taken: list[tuple[int, int]] = []
+        work = deque(max(0, bisect_right(starts, m.start()) - 1) for m in _CUE.finditer(block)) if words else deque()
         while work:
-            lo, hi = work.pop(0)
-            part = words[lo:hi]
-            if not part or not _CUE.search(block[part[0][1] : part[-1][2]]):
+            cue = work.popleft()
+            k = bisect_right(taken, (cue, len(words)))
+            lo, hi = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(words)
+            if cue < lo:
                 continue
-            data, best = block[part[0][1] : part[-1][2]].encode("utf-8", "replace"), None
-            for gain, i in self.ranked(data)[: self.confirmed]:
-                if gain < LEAST_GAIN:
-                    break
-                found, missing, added, first, last = self.differences(i, part)
-                fixed = sum(w[0] != "{" for w in self.templates[i][3])
-                share = found / fixed
-                # of the confirmed the one with the fewest differences wins, and of these the longest
-                rank = (len(missing) + len(added)) / fixed, -found
-                if share >= self.least_share and (best is None or rank < best[0]):
-                    best = rank, i, gain, share, missing, added, first, last
+            best = None
+            for reach, some in self.windows:
+                a, b = max(lo, cue - reach), min(hi, cue + reach + 1)
+                data = block[words[a][1] : words[b - 1][2]].encode("utf-8", "replace")
+                for gain, i in self.ranked(data, some)[: self.confirmed]:
+                    found, missing, added, first, last = self.differences(i, words[a:b])
+                    fixed = sum(w[0] != "{" for w in self.templates[i][3])
+                    share = found / fixed
+                    # of the confirmed the one with the fewest differences wins, and of these the longest
+                    rank = (len(missing) + len(added)) / fixed, -found
+                    if share >= self.least_share and (best is None or rank < best[0]):
+                        best = rank, i, gain, share, missing, added, a + first, a + last
             if best is None:
                 continue
             _, i, gain, share, missing, added, first, last = best
-            out.append((self.templates[i][0], gain, share, missing, added, part[first][1], part[last][2]))
-            work += [(lo, lo + first), (lo + last + 1, hi)]
+            out.append((self.templates[i][0], gain, share, missing, added, words[first][1], words[last][2]))
+            taken.insert(k, (first, last + 1))
+            # what is left on the cue's side may hold another
+            work.appendleft(cue)
         return sorted(out, key=lambda x: x[5])
 
     def scan(self, text: str | None):

@@ -285,6 +285,20 @@ def test_licenses(spark, docs, nothing):
     assert {r["doc_id"] for r in found.filter("exact").collect()} >= {r["doc_id"] for r in noted.collect()}
 
 
+def test_licenses_in_long_lines():
+    r, s = random.Random(4), license.Scanner()
+    prose = [w for w in license.__doc__.split() if not license._CUE.search(w)]
+    for name, body in license.TEMPLATES:
+        notice = body.replace("{year}", "2020").replace("{holder}", "Jane Doe").replace("{version}", "3")
+        for size in (100, 400, 3000):
+            before, after = (" ".join(r.choice(prose) for _ in range(size // 2)) for _ in "ab")
+            text = f"{before}. {notice} {after}"
+            found = [f for f in s.scan(text) if f[0] == name and f[1]]
+            assert [notice.startswith(text[f[2] : f[3]][:12]) for f in found] == [True], (name, size, s.scan(text))
+    both = s.scan(" ".join(["plain words here"] * 300 + ["Released under the MIT License."] + ["other words there"] * 300 + ["Licensed under CC BY 4.0. Dedicated to the public domain under CC0 1.0."] + ["and more"] * 400))
+    assert [(f[0], f[1]) for f in both] == [("MIT", True), ("CC-BY-4.0", True), ("CC0-1.0", True)]
+
+
 def test_repeats(spark, docs, nothing):
     import re
 
