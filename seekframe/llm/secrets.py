@@ -2,8 +2,8 @@
 
 A text is the first layer.  Every layer is scanned for secrets, then each encoded run in it (URL escapes,
 Unicode escapes, base64, hexadecimal, and compressed bytes inside these) is decoded into a further layer and put on the worklist, until
-no layer gives a new one.  Layers are remembered by content for each document, so a cycle ends, and a layer keeps the span of the
-original text that it was decoded from.
+no layer gives a new one.  Layers are remembered by content for each span of the original text that they were decoded from, so a
+cycle ends, and a layer is looked at in every span that holds it.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def scan_text(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
     if not text:
         return []
     found: dict[tuple, tuple] = {}
-    seen, work = {text}, [(text, None, 0, "")]
+    seen, work = set(), [(text, None, 0, "")]
     while work:
         layer, span, depth, how = work.pop()
         taken, low = [], layer.lower()
@@ -166,10 +166,11 @@ def scan_text(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
                 if key not in found or found[key][4] > depth:
                     found[key] = (rule, secret, start, end, depth, how)
         for start, end, kind, inner in _layers(layer):
-            if len(inner) >= 8 and (inner not in seen or span is None):
-                # the same layer at another place of the original text is another finding, deeper down it's a cycle
-                seen.add(inner)
-                work.append((inner, span or (start, end), depth + 1, f"{how}>{kind}" if how else kind))
+            # the same layer in another span of the original text is another finding, in the same one it's a cycle
+            key = (span or (start, end), inner)
+            if len(inner) >= 8 and key not in seen:
+                seen.add(key)
+                work.append((inner, key[0], depth + 1, f"{how}>{kind}" if how else kind))
     return sorted(found.values(), key=lambda f: (f[2], f[3], f[0], f[1]))
 
 

@@ -155,6 +155,15 @@ def test_secret_cycles_and_long_runs_end():
     assert secrets.scan_text(None) == [] == secrets.scan_text("")
 
 
+@pytest.mark.parametrize("outer", [lambda t: b64(b64(t)), lambda t: urllib.parse.quote(b64(t + " "), safe="")])
+def test_secret_layers_in_every_span(outer):
+    text = f"one {outer(TOKEN)} two {outer(TOKEN)} three"
+    assert len({f[2:4] for f in secrets.scan_text(text)}) == 2
+    assert secrets.mask_text(text) == "one [SECRET] two [SECRET] three"
+    both = f"one {b64('x ' + b64(TOKEN))} two {b64('yy ' + b64(TOKEN))} three"
+    assert secrets.mask_text(both) == "one [SECRET] two [SECRET] three"
+
+
 def test_secret_columns(spark, nothing):
     d = spark.createDataFrame([(1, TOKEN, "x", 50), (2, None, "y", 0), (3, "", "z", 0), (None, TOKEN, "x", 1), (4, "plain", "p", 5)], "doc_id bigint, text string, new string, n_chars int")
     assert sorted(str(r["doc_id"]) for r in secrets.scan_secrets(d).collect()) == ["1", "None"]
