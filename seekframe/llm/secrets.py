@@ -23,17 +23,24 @@ from pyspark.sql import functions as F
 
 from .common import packed
 
+#: A private key: through its END line, or without one to the end of its base64 lines.
+_KEY_LINE = r"PRIVATE KEY(?: BLOCK)?-----"
+_PRIVATE_KEY = (
+    rf"(-----BEGIN (?:[A-Z0-9]+ )*{_KEY_LINE}(?:(?:(?!-----BEGIN )(?s:.))*?-----END (?:[A-Z0-9]+ )*{_KEY_LINE}"
+    r"|(?:(?:\s|\\[rn])*+(?:[A-Z][A-Za-z-]+: [^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}))*+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?))"
+)
+
 #: (rule, pattern, group that holds the secret, least bits per character of the secret)
 RULES = (
     ("aws_access_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16})(?![A-Za-z0-9])", 1, 0.0),
-    ("github_token", r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})", 1, 0.0),
+    ("github_token", r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", 1, 0.0),
     ("slack_token", r"(?<![A-Za-z0-9])(xox[abeoprs]-[A-Za-z0-9-]{10,})", 1, 0.0),
     ("stripe_key", r"(?<![A-Za-z0-9])([rs]k_(?:live|test)_[A-Za-z0-9]{16,})", 1, 0.0),
     ("google_api_key", r"(?<![A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])", 1, 0.0),
     ("jwt", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0.0),
-    ("private_key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1, 0.0),
-    ("url_password", r"(?<![A-Za-z])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{3,128})@", 1, 0.0),
-    ("assigned_secret", r"(?i)(?<![a-z])(?:api[_-]?key|apikey|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|auth[_-]?token|access[_-]?token|token|passwd|password|pwd)[\"']?\s{0,4}(?:=>|:=|[=:])\s{0,4}[\"']?([A-Za-z0-9_\-+/=.!@#$%^&*~]{8,512})", 1, 2.5),
+    ("private_key", _PRIVATE_KEY, 1, 0.0),
+    ("url_password", r"(?<![A-Za-z])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:([^\s/:@]+)@", 1, 0.0),
+    ("assigned_secret", r"(?i)(?<![a-z])(?:api[_-]?key|apikey|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|auth[_-]?token|access[_-]?token|token|passwd|password|pwd)[\"']?\s{0,4}(?:=>|:=|[=:])\s{0,4}[\"']?([A-Za-z0-9_\-+/=.!@#$%^&*~]{8,})", 1, 2.5),
 )
 #: Encoded runs shorter than this hold no secret of 8 characters with its name.
 LEAST_RUN = 16
@@ -52,7 +59,7 @@ _TO_BASE64 = str.maketrans("-_", "+/", "\r\n=")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){%d,}+(?![0-9A-Za-z])" % LEAST_RUN)
 
 #: What a text must match for any rule or decoder to find something in it; everything else is passed over by the JVM.
-CANDIDATE = r"(?i)akia|asia|aroa|aida|gh[pousr]_|github_pat|xox[a-z]-|[rs]k_(?:live|test)|aiza|eyJ|PRIVATE KEY|://[^\s/:@]+:|api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|[a-z0-9+/_-]{16}"
+CANDIDATE = r"(?i)akia|asia|aroa|aida|gh[pousr]_|github_pat|xox[a-z]-|[rs]k_(?:live|test)|aiza|eyJ|PRIVATE KEY|://[^\s/:@]*:|api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|[a-z0-9+/_-]{16}"
 
 
 def _bits(s: str) -> float:

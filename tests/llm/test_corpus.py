@@ -164,6 +164,22 @@ def test_secret_layers_in_every_span(outer):
     assert secrets.mask_text(both) == "one [SECRET] two [SECRET] three"
 
 
+def test_secrets_are_matched_whole():
+    body = "\n".join(b64(random.Random(6).randbytes(48)) for _ in range(20)) + "\nQ7x9Kd=="
+    for kind in ("RSA ", "", "OPENSSH "):
+        head, tail = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        for key in (f"{head}\n{body}\n{tail}", f"{head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{tail}", f"{head}\n{body}", (head + "\n" + body + "\n" + tail).replace("\n", "\\n")):
+            assert secrets.mask_text(f"my key {key}\nand more") == "my key [SECRET]\nand more"
+            assert [f[1] for f in secrets.scan_text(b64(f"my key {key}\nand more"))] == [key]
+    assert secrets.mask_text("-----BEGIN PRIVATE KEY----- is how a key begins") == "[SECRET] is how a key begins"
+    r = random.Random(7)
+    long = "".join(r.choice("abcdefghjkmnpqrstuvwxyz0123456789") for _ in range(2000))
+    assert secrets.mask_text(f"token = {long} x") == "token = [SECRET] x"
+    assert secrets.mask_text(f"see ghp_{long} x") == "see [SECRET] x"
+    assert secrets.mask_text(f"postgres://me:{long}@db/x") == "postgres://me:[SECRET]@db/x"
+    assert secrets.mask_text("redis://:pw@host") == "redis://:[SECRET]@host" and secrets.mask_text(f"amqp://{long}:secret1@host") == f"amqp://{long}:[SECRET]@host"
+
+
 def test_secret_columns(spark, nothing):
     d = spark.createDataFrame([(1, TOKEN, "x", 50), (2, None, "y", 0), (3, "", "z", 0), (None, TOKEN, "x", 1), (4, "plain", "p", 5)], "doc_id bigint, text string, new string, n_chars int")
     assert sorted(str(r["doc_id"]) for r in secrets.scan_secrets(d).collect()) == ["1", "None"]
