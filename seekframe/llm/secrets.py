@@ -77,23 +77,39 @@ def _text(data: bytes) -> str | None:
     return s if odd * 20 <= len(s) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data)
-        if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data)
-    except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+def _stream(data: bytes):
+    """The decompressor of the stream that data begins with."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _inflate(data: bytes) -> bytes | None:
+    """All streams, members or frames that data begins with, unpacked one after the other."""
+    out = []
+    while data:
+        if data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5:  # a frame of zstd that holds no text
+            data = data[8 + int.from_bytes(data[4:8], "little") :]
+            continue
+        stream = _stream(data)
+        if stream is None:
+            break
+        try:
+            out.append(stream.decompress(data))
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            break
+        data = stream.unused_data.lstrip(b"\0")  # members may be padded
+    return b"".join(out) if out else None
+
+
 def _opened(data: bytes, how: str):
     """(how, text) of decoded bytes: unpacked for as long as they are compressed."""
     while (inner := _inflate(data)) is not None and inner != data:

@@ -180,6 +180,21 @@ def test_secrets_are_matched_whole():
     assert secrets.mask_text("redis://:pw@host") == "redis://:[SECRET]@host" and secrets.mask_text(f"amqp://{long}:secret1@host") == f"amqp://{long}:[SECRET]@host"
 
 
+def test_secrets_of_later_members():
+    import bz2
+    import lzma
+    import zlib
+
+    import zstandard
+
+    first, later = b"nothing to see here, " * 5, TOKEN.encode()
+    skipped = b"\x50\x2a\x4d\x18" + (5).to_bytes(4, "little") + b"\0\1\2\3\4"
+    zstd = zstandard.ZstdCompressor().compress
+    for packed in (*(f(first) + f(later) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstd)), zstd(first) + skipped + zstd(later), gzip.compress(first) + b"\0" * 8 + gzip.compress(later), gzip.compress(b"") + gzip.compress(first) + gzip.compress(later)):
+        assert [f[1] for f in secrets.scan_text("x " + b64(packed) + " y")] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+        assert secrets.mask_text("x " + b64(packed) + " y") == "x [SECRET] y"
+
+
 def test_secret_columns(spark, nothing):
     d = spark.createDataFrame([(1, TOKEN, "x", 50), (2, None, "y", 0), (3, "", "z", 0), (None, TOKEN, "x", 1), (4, "plain", "p", 5)], "doc_id bigint, text string, new string, n_chars int")
     assert sorted(str(r["doc_id"]) for r in secrets.scan_secrets(d).collect()) == ["1", "None"]
