@@ -14,6 +14,7 @@ import bz2
 import lzma
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from math import log2
 
 import pandas as pd
@@ -55,6 +56,13 @@ _URL = re.compile(r"(?<![^\s%])[^\s%]*+(?:%[0-9A-Fa-f]{2}[^\s%]*+)+")
 _UNICODE = re.compile(r"(?<![^\s\\])[^\s\\]*+(?:\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})[^\s\\]*+)+")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}|[A-Za-z0-9+/_-]{%d,}+={0,2}" % LEAST_RUN)
+_GLUE = re.compile(r"[/_-]")
+#: Base64 of the first bytes of gzip, zstd, bzip2, xz and zlib.
+_PACKED = re.compile(r"H4sI|KLUv/|Qlpo|/Td6WFoA|e(?:J[w-z]|N[o-r]|A[E-H]|F[4-7])")
+#: Text of at least the bytes of LEAST_RUN characters.
+_STRETCH = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}" % (LEAST_RUN * 3 // 4))
+#: Of the separators in a stretch of text the first and last so many are tried one by one, and all of them together.
+GLUED = 8
 _TO_BASE64 = str.maketrans("-_", "+/", "\r\n=")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){%d,}+(?![0-9A-Za-z])" % LEAST_RUN)
 
@@ -149,18 +157,58 @@ def _layers(text: str):
 
 
 def _base64_layers(run: str, start: int, end: int):
-    run = run.translate(_TO_BASE64)
-    # something before the run may be glued to it, so all four alignments are tried until one gives text
-    for skip in range(4):
-        body = run[skip:]
+    """Layers of a base64 run, to which other words, paths or names may be glued by letters, digits, '/', '-' and '_'."""
+    at = None
+    if "\n" in run:
+        at = [i for i, c in enumerate(run) if c not in "\r\n="]
+    ends = [m.start() for m in _GLUE.finditer(run)]
+    plain = run.translate(_TO_BASE64)
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        return (start + a, start + b) if at is None else (start + at[a], start + at[min(b, len(at)) - 1] + 1)
+
+    def decoded(skip: int) -> bytes:
+        body = plain[skip:]
         body = body[: len(body) - (len(body) % 4 == 1)]
-        if len(body) < LEAST_RUN:
-            return
-        found = list(_opened(base64.b64decode(body + "=" * (-len(body) % 4)), "base64"))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+
+    # bare, or glued to something before: an alignment in which the whole rest is text
+    for skip in range(4):
+        if len(plain) - skip < LEAST_RUN:
+            break
+        found = list(_opened(decoded(skip), "base64"))
         for how, out in found:
-            yield start + skip, end, how, out
+            yield place(skip, 0)[0] if at is None else start + at[skip], end, how, out
+        if found and (skip == 0 or at is not None or not ends):
+            return
         if found:
+            break
+    # compressed bytes anywhere in the run; what follows their end doesn't matter
+    for m in _PACKED.finditer(plain):
+        if len(plain) - m.start() >= LEAST_RUN:
+            for how, out in _opened(decoded(m.start()), "base64"):
+                if how != "base64":
+                    yield *place(m.start(), len(plain)), how, out
+    # text anywhere in the run: in each alignment the longest stretches, and these cut where something may be glued
+    cuts = [e + 1 for e in ends] if at is None else []
+    for skip in range(4):
+        if len(plain) - skip < LEAST_RUN:
             return
+        data = decoded(skip)
+        for m in _STRETCH.finditer(data):
+            a, b = m.span()
+            first, last = skip + a * 4 // 3, min(len(plain), skip + -(-b * 4 // 3))
+            yield *place(first, last), "base64", m[0].decode("utf-8", "replace")
+            # offsets in the stretch where a part between separators begins or ends in this alignment
+            here = [(c, (c - skip) * 3 // 4 - a) for c in cuts[bisect_right(cuts, first) : bisect_left(cuts, last)] if (c - skip) % 4 == 0]
+            stops = [(e - skip) * 3 // 4 - a for e in ends[bisect_right(ends, first) : bisect_left(ends, last)]] if at is None else []
+            for c, k in here[:GLUED]:
+                yield c + start, start + last, "base64", m[0][k:].decode("utf-8", "replace")
+            for k in stops[-GLUED:]:
+                yield start + first, start + last, "base64", m[0][:k].decode("utf-8", "replace")
+            if here or stops:
+                parts = sorted({0, len(m[0]), *(k for _, k in here), *stops})
+                yield start + first, start + last, "base64", "\n".join(m[0][x:y].decode("utf-8", "replace") for x, y in zip(parts, parts[1:]))
 
 
 def scan_text(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
@@ -194,7 +242,15 @@ def scan_text(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
             if len(inner) >= 8 and key not in seen:
                 seen.add(key)
                 work.append((inner, key[0], depth + 1, f"{how}>{kind}" if how else kind))
-    return sorted(found.values(), key=lambda f: (f[2], f[3], f[0], f[1]))
+    # one encoded run may give the same secret by several cuts: the widest span stands for those it overlaps
+    out, reach = [], {}
+    for f in sorted(found.values(), key=lambda f: (f[2], -f[3], f[0], f[1])):
+        if f[4] and f[2] < reach.get(f[:2], 0):
+            continue
+        if f[4]:
+            reach[f[:2]] = f[3]
+        out.append(f)
+    return sorted(out, key=lambda f: (f[2], f[3], f[0], f[1]))
 
 
 def mask_text(text: str | None, label: str = "[SECRET]") -> str | None:

@@ -195,6 +195,21 @@ def test_secrets_of_later_members():
         assert secrets.mask_text("x " + b64(packed) + " y") == "x [SECRET] y"
 
 
+def test_secrets_of_glued_runs():
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    plain, quoted = b64(f"token = {secret}").rstrip("="), b64(TOKEN).rstrip("=")
+    packed = b64(gzip.compress(TOKEN.encode())).rstrip("=")
+    for before in ("", "v1/", "/download/", "https://h.example/d/", "auth/secret/", "session-token_", "dir/", "a/b/c/d/e/"):
+        for after in ("", "_old", "/x", "-backup_2020"):
+            for run in (plain, quoted, packed):
+                text = f"see {before}{run}{after} here"
+                found = {f[1] for f in secrets.scan_text(text)}
+                assert secret in found, (before, run, after)
+                masked = secrets.mask_text(text)
+                assert masked.startswith("see ") and masked.endswith(" here") and run not in masked
+                assert "[SECRET]" in masked and not secrets.scan_text(masked)
+
+
 def test_secret_columns(spark, nothing):
     d = spark.createDataFrame([(1, TOKEN, "x", 50), (2, None, "y", 0), (3, "", "z", 0), (None, TOKEN, "x", 1), (4, "plain", "p", 5)], "doc_id bigint, text string, new string, n_chars int")
     assert sorted(str(r["doc_id"]) for r in secrets.scan_secrets(d).collect()) == ["1", "None"]
