@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_rows(_documents(spark, sf_dir).select("doc_id"))
+    return shard_rows(_documents(spark, sf_dir))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,14 @@ def test_sharding(spark, nothing):
     assert max(Counter(r["shard"] for r in sharding.shard_rows(repeated, shards=4, vnodes=4, slack=0.0).collect()).values()) == 11
 
 
+def test_sharding_query_carries_all_columns(spark):
+    from seekframe.llm import queries
+
+    d, got = spark.read.parquet(f"{SF}/documents.parquet"), queries.op4_sharding(spark, SF)
+    assert got.columns == [*d.columns, "shard"]
+    assert sorted(map(str, got.drop("shard").collect())) == sorted(map(str, d.collect()))
+
+
 def test_bpe_matches_the_library(spark, docs, nothing):
     import tiktoken
 
