@@ -8,6 +8,7 @@ when the JVM ends or when the operator says so.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -88,6 +89,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Logical plans made of these alone give their rows in the same order whenever they are read.
+_STEADY = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "Range", "Union", "LogicalRDD"}
+
+
+def stable(df: DataFrame) -> bool:
+    """Whether df gives the same rows in the same order if read again: reads tables, maps and filters, no shuffles."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return {re.match(r"[\s:+-]*(\w*)", line)[1] for line in plan.splitlines() if line.strip()} <= _STEADY
+
+
+def components(edges: DataFrame) -> Table:
+    """(id, label): for each vertex of edges (u, v), the least vertex that they lead to from it.
+
+    Each round contracts every vertex into the least of its neighbours and itself, until no edge is left.
+    """
+    left, moves = Table(edges.filter("u <> v").distinct(), "parts-edges"), []
+    while not left.df.isEmpty():
+        both = left.df.unionByName(left.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        move = Table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "parts-move")
+        one = left.df.join(move.side(), "u").select(F.col("to").alias("u"), "v")
+        both = one.join(move.side().select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
+        new = Table(both.filter("u <> v").distinct(), "parts-edges")
+        left.drop()
+        left = new
+        moves.append(move)
+    out = left.df.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    for move in reversed(moves):
+        # what was contracted into a vertex goes where that one went in later rounds
+        later = out.select(F.col("id").alias("to"), "label")
+        out = move.df.join(later, "to", "left").select(F.col("u").alias("id"), F.coalesce("label", "to").alias("label"))
+    out = Table(out, "parts")
+    for t in (left, *moves):
+        t.drop()
+    return out
+
+
 def slices(batches, text_col: str, chars: int = 4 << 20):
     """The rows of Arrow batches in pieces of about so many characters, so that a worker's arrays stay small.
 

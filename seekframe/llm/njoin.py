@@ -1,19 +1,20 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-Two documents join if the Jaccard similarity of their sets of word n-grams is at least ``threshold``.  Grams
-are 64-bit names, of which 48 bits and the number of their bucket are kept.
-
-1. Documents are read in slices, and each slice's grams are cut into buckets by name.  A bucket's task sees all postings of its
-   names and keeps those of names that two documents or more hold.  A document needs T = ceil(threshold * size)
-   of these, or it joins nothing: this leaves the near copies.  Of those with identical sets, the least id stands
-   for all.  All later steps work on these alone.
-2. They are laid out in index shards, near copies mostly together, and each is sent as a query to the shards
-   that hold at least T - L of its grams besides the L longest lists.
-3. A shard answers a query from inverted lists: the short lists are heap-merged to count each document's
-   occurrences, documents with T - L of them are completed by binary probes of the L long lists, and those
-   with the overlap that their own size requires are returned.
-
-Everything is exact: filters only drop what can't reach the threshold, and nothing is capped.
+Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least ``threshold``.  A gram is
+named by 64 bits.  Of documents with identical texts, then of those with identical sets, the least id stands for all.
+
+1. Filter.  Documents are read in slices.  Of each gram a bucket and MARK_BITS bits are sent to that bucket, sorted and delta-coded; a bucket's
+   task tells each slice which of its documents' grams another document may hold too.  A document needs T = ceil(threshold * size) of
+   these, or it's linked to nothing.  Equal bits of different grams only let a document pass.
+2. Sets.  The documents that pass get their grams named in full, those held by one document alone are dropped, and the rest are ordered from the rarest to the
+   commonest; fewer than T left, and the document is linked to nothing.
+3. Homes.  A document lives in the index shard of its commonest gram, where its near copies mostly live too.  Two linked documents share a gram
+   among the size - T + 1 rarest of both, so each document is also sent as a query to the homes that hold one of its own.
+4. Search.  A shard answers queries from inverted lists: the short lists are heap-merged to count each document's occurrences,
+   documents with T - L of them are completed by binary probes of the L long lists, and those with the
+   overlap that their own size requires are links.  What leaves a shard is linear in its documents: classes and counts, or edges to documents that may stay.
+
+Filters only drop what can't reach the threshold, and nothing is capped.  Numbers of buckets and shards follow from measured bytes.
 """
 
 from __future__ import annotations
@@ -21,26 +22,32 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
+from bisect import bisect_left
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, ngram_names, packed, shuffle_partitions, slices, unpacked, words_of
+from .common import Table, components, mix, ngram_names, packed, shuffle_partitions, stable, unpacked, words_of
 
 N = 5
 THRESHOLD = 0.3
-#: Postings that an index shard holds at most, unless a single document has more.
-SHARD_POSTINGS = 400_000
-#: Up to so many entries the short lists are merged by a heap; above, by a sort that merges their runs.
-HEAP_ENTRIES = 2048
+#: Bytes of text, and named grams, that a bucket of the first two steps is made for.
+BUCKET_BYTES, BUCKET_GRAMS = 16 << 20, 2 << 20
+#: Bits of a gram's mark within its bucket; of some 2.4 million in one, 4 % then seem to be shared by chance.
+MARK_BITS = 26
+#: Postings that a bin of homes is made for, and that a home holds at most, unless a single document has more.
+BIN_POSTINGS, SHARD_POSTINGS = 400_000, 1 << 20
+SLICE_CHARS, SLICE_DOCS = 4 << 20, 50_000
 
 _EPS = 1e-9
-_WORDS = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def need(size: int, threshold: float) -> int:
@@ -48,68 +55,194 @@ def need(size: int, threshold: float) -> int:
     return max(1, ceil(size * threshold - _EPS))
 
 
+def _needs(size: np.ndarray, threshold: float) -> np.ndarray:
+    return np.maximum(1, np.ceil(size * threshold - _EPS)).astype(np.int64)
+
+
+# --- blobs ------------------------------------------------------------------------------------------------
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
+
+
+def _spread(data: bytes, kind: str) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def _text_slices(batches):
+    """(ids, texts) of Arrow batches in pieces of about SLICE_CHARS bytes; a text is never cut, and a longer one is a piece by itself."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+        piece = (np.cumsum(size + SLICE_CHARS / SLICE_DOCS) // SLICE_CHARS).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(piece)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(size)]):
+            if b > a:
+                yield batch["doc_id"].slice(a, b - a).to_numpy(zero_copy_only=False), batch["text"].slice(a, b - a).to_pylist()
+
+
 # --- step 1 -----------------------------------------------------------------------------------------------
 
-_HEAD = np.dtype([("id", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("size", "<u4")])
-_BLOB = "bucket int, slice bigint, grams binary, docs binary, heads binary"
-
-
-def _gram_sets(ids, texts, n: int):
-    """Head of each document of a slice that has grams; the grams by document, ascending; and which head each belongs to."""
-    words, _, _, first, _ = words_of(texts)
-    names, of = ngram_names(words, first, n)
-    order = np.lexsort((names, of))
-    names, of = names[order], of[order]
-    fresh = np.ones(len(names), np.bool_)
-    fresh[1:] = (names[1:] != names[:-1]) | (of[1:] != of[:-1])
-    names, of = names[fresh], of[fresh]
-    size = np.bincount(of, minlength=len(ids))
-    start = np.concatenate(([0], np.cumsum(size)))
-    have = np.flatnonzero(size)
-    heads = np.zeros(len(have), _HEAD)
-    heads["id"], heads["size"] = np.asarray(ids, np.int64)[have], size[have]
-    for j, t in enumerate(have):
-        digest = hashlib.blake2b(names[start[t] : start[t + 1]].tobytes(), digest_size=16).digest()
-        heads["k1"][j], heads["k2"][j] = np.frombuffer(digest, "<i8")
-    return heads, names, np.repeat(np.arange(len(have)), size[have])
-
-
-def _extract(n: int, buckets: int):
+_MARKS = "bucket int, slice bigint, marks binary, docs binary, ids binary, sizes binary"
+_HELD = "slice bigint, docs binary, ids binary, sizes binary"
+
+
+def _mark(n: int, buckets: int):
+    bits = np.uint64(min(MARK_BITS, 48 - (buckets - 1).bit_length()))  # of a mark; its place among all buckets and 16 bits of a document fill 64
+    b, sixteen = np.uint64(buckets), np.uint64(16)
+
     def run(batches):
-        # A slice's number and a document's place in it name the document in two bytes a gram, whatever the number of buckets.
-        number = TaskContext.get().partitionId() << 40
-        for pdf in slices(batches, "text"):
-            pdf = pdf[pdf["doc_id"].notna()]
-            heads, grams, of = _gram_sets(pdf["doc_id"].to_numpy(np.int64), pdf["text"], n)
-            if not len(heads):
-                continue
+        number = TaskContext.get().partitionId() << 32
+        for ids, texts in _text_slices(batches):
+            words, _, _, first, _ = words_of(texts)
+            grams, of = ngram_names(words, first, n)
             number += 1
-            bucket = ((grams >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            grams, of, bucket = grams[order].view(np.uint8).reshape(-1, 8)[:, :6], of[order].astype("<u2"), bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = [(b, number, grams[cut[b] : cut[b + 1]].tobytes(), of[cut[b] : cut[b + 1]].tobytes(), b"") for b in range(buckets) if cut[b] < cut[b + 1]]
-            out.append((number % buckets, number, b"", b"", heads.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "slice", "grams", "docs", "heads"])
+            # the place of each gram among the buckets, in 1 / 2**bits of one
+            place = ((grams >> np.uint64(32)) * b + (((grams & _LOW) * b) >> np.uint64(32))) >> (np.uint64(32) - bits)
+            key = np.sort(place << sixteen | of.astype(np.uint64))
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+            docs = (key & np.uint64(0xFFFF)).astype("<u2")
+            marks = (key >> sixteen & ((np.uint64(1) << bits) - np.uint64(1))).astype("<u4")
+            cut = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << (bits + sixteen))
+            rows = [(k, number, _squeeze(np.diff(marks[cut[k] : cut[k + 1]], prepend=np.uint32(0))), _squeeze(docs[cut[k] : cut[k + 1]]), None, None) for k in np.flatnonzero(np.diff(cut)).tolist()]
+            sizes = np.bincount(docs, minlength=len(ids)).astype("<u4")
+            rows.append((number % buckets, number, b"", b"", _squeeze(np.asarray(ids, "<i8")), _squeeze(sizes)))
+            yield _batch(_MARKS, rows)
+
+    return run
+
+
+def _count_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each slice of a bucket, the document of each gram that another document may hold."""
+    marks = [np.cumsum(_spread(m, "<u4"), dtype=np.uint32) for m in pdf["marks"]]
+    cut = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
+    marks = np.concatenate(marks)
+    order = np.argsort(marks)
+    m = marks[order]
+    same = m[1:] == m[:-1]
+    several = np.zeros(len(m), np.bool_)
+    several[order] = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(m) else False
+    del order, m, marks
+    out = []
+    for i, (number, docs, ids, sizes) in enumerate(zip(pdf["slice"], pdf["docs"], pdf["ids"], pdf["sizes"])):
+        here = several[cut[i] : cut[i + 1]]
+        if ids is not None or here.any():
+            out.append((number, _squeeze(_spread(docs, "<u2")[here]), ids, sizes))
+    return pd.DataFrame(out, columns=["slice", "docs", "ids", "sizes"])
+
+
+def _passing(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["ids"].notna()].iloc[0]
+        ids, sizes = _spread(head["ids"], "<i8"), _spread(head["sizes"], "<u4").astype(np.int64)
+        held = np.zeros(len(ids), np.int64)
+        for docs in pdf["docs"]:
+            held += np.bincount(_spread(docs, "<u2"), minlength=len(ids))
+        able = (sizes > 0) & (held >= _needs(sizes, threshold))
+        return pd.DataFrame({"id": ids[able], "size": sizes[able]})
+
+    return run
+
+
+# --- step 2 -----------------------------------------------------------------------------------------------
+
+_SET = "id bigint, size int, k1 bigint, k2 bigint, grams binary, places binary, lines binary, counts binary"
+
+
+def _lines_of(words: np.ndarray, starts: np.ndarray, first: np.ndarray, data: bytes):
+    """Line of each word, numbered over the batch; the name of each line that has words, by these; and its first word."""
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(breaks, starts)
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    within = np.arange(len(line)) - np.repeat(begin, np.diff(np.append(begin, len(line))))
+    names = np.add.reduceat(mix(words ^ mix(within.astype(np.uint64) + np.uint64(1))), begin) if len(begin) else np.zeros(0, np.uint64)
+    return np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(line)))), names, begin
+
+
+def _name(n: int, with_lines: bool):
+    """(id, size, name of the set, grams ascending) of each document; with_lines: the line of each gram, if one holds it whole, and the names and numbers of grams of the lines."""
+
+    def run(batches):
+        for ids, texts in _text_slices(batches):
+            words, starts, _, first, data = words_of(texts)
+            grams, of = ngram_names(words, first, n)
+            at = np.full(len(grams), -1, np.int64)
+            names = begin = np.zeros(0, np.uint64)
+            if with_lines and len(words):
+                line, names, begin = _lines_of(words, starts, first, data)
+                # the grams of texts with n words come first, in their order, then the single ones of shorter texts
+                long = int((np.diff(first)[of] >= n).sum())
+                lead = first[of]
+                lead[:long] += np.arange(long) - np.searchsorted(of[:long], of[:long], "left")
+                last = np.concatenate((lead[:long] + n, first[of[long:] + 1])) - 1
+                at = np.where(line[lead] == line[last], line[lead], -1)
+            order = np.lexsort((grams, of))
+            grams, of, at = grams[order], of[order], at[order]
+            fresh = np.ones(len(grams), np.bool_)
+            fresh[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
+            grams, of, at = grams[fresh], of[fresh], at[fresh]
+            cut = np.searchsorted(of, np.arange(len(ids) + 1))
+            rows = []
+            for t in np.flatnonzero(np.diff(cut)).tolist():
+                own, own_at = grams[cut[t] : cut[t + 1]], at[cut[t] : cut[t + 1]]
+                k1, k2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist()
+                lines = counts = places = b""
+                if with_lines:
+                    a, b = np.searchsorted(begin, (first[t], first[t + 1])).tolist()
+                    lines = names[a:b].tobytes()
+                    counts = np.bincount(own_at[own_at >= 0] - a, minlength=b - a).astype("<u4").tobytes()
+                    places = np.where(own_at >= 0, own_at - a, -1).astype("<i4").tobytes()
+                rows.append((int(ids[t]), len(own), k1, k2, own.tobytes(), places, lines, counts))
+            if rows:
+                yield _batch(_SET, rows)
 
     return run
 
 
-_SHARED = "slice bigint, grams binary, docs binary, dfs binary, heads binary"
+_GRAMS = "bucket int, slice bigint, grams binary, docs binary, rows binary"
+_SHARED = "slice bigint, grams binary, docs binary, dfs binary, rows binary"
+_ROW = ("id", "k1", "size", "weight")
+
 
+def _blobs(buckets: int):
+    """The grams of a slice of sets by bucket; ``rows`` has the sets' own numbers."""
 
-def _six(grams: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(grams) // 6, 8), np.uint8)
-    out[:, :6] = grams.reshape(-1, 6)
-    return out.view("<u8").ravel()
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                number += 1
+                own = [np.frombuffer(x, "<u8") for x in part["grams"].to_pylist()]
+                docs = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype("<u2")
+                grams = np.concatenate(own)
+                order = np.argsort(grams, kind="stable")
+                grams, docs = grams[order], docs[order]
+                place = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                cut = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
+                rows = [(k, number, _squeeze(np.diff(grams[cut[k] : cut[k + 1]], prepend=np.uint64(0))), _squeeze(docs[cut[k] : cut[k + 1]]), None) for k in np.flatnonzero(np.diff(cut)).tolist()]
+                rows.append((number % buckets, number, b"", b"", _squeeze(np.concatenate([part[c].to_numpy().astype("<i8") for c in _ROW]))))
+                yield _batch(_GRAMS, rows)
+
+    return run
 
 
-def _reduce_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The grams of a bucket that two documents or more hold, with their number, by slice."""
-    b = int(pdf["bucket"].iloc[0])
-    grams = _six(np.frombuffer(b"".join(pdf["grams"]), np.uint8))
-    docs = np.frombuffer(b"".join(pdf["docs"]), "<u2")
-    cut = np.concatenate(([0], np.cumsum([len(d) // 2 for d in pdf["docs"]])))
+def _count_grams(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The grams of a bucket that two sets or more hold, with their number, by slice."""
+    each = [np.cumsum(_spread(g, "<u8"), dtype=np.uint64) for g in pdf["grams"]]
+    cut = np.concatenate(([0], np.cumsum([len(g) for g in each])))
+    grams = np.concatenate(each)
+    del each
     order = np.argsort(grams)
     g = grams[order]
     starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
@@ -117,80 +250,110 @@ def _reduce_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     df = np.empty(len(g), "<u4")
     df[order] = np.repeat(length, length)
     del order, g
-    grams |= np.uint64(b << 48)
     out = []
-    for i, (number, heads) in enumerate(zip(pdf["slice"], pdf["heads"])):
-        here = slice(cut[i], cut[i + 1])
-        several = df[here] > 1
-        if len(heads) or several.any():
-            out.append((number, grams[here][several].tobytes(), docs[here][several].tobytes(), df[here][several].tobytes(), heads))
-    return pd.DataFrame(out, columns=["slice", "grams", "docs", "dfs", "heads"])
+    for i, (number, docs, rows) in enumerate(zip(pdf["slice"], pdf["docs"], pdf["rows"])):
+        here = df[cut[i] : cut[i + 1]]
+        several = here > 1
+        if rows is not None or several.any():
+            out.append((number, _squeeze(np.diff(grams[cut[i] : cut[i + 1]][several], prepend=np.uint64(0))), _squeeze(_spread(docs, "<u2")[several]), _squeeze(here[several]), rows))
+    return pd.DataFrame(out, columns=["slice", "grams", "docs", "dfs", "rows"])
 
 
-_SET = "id bigint, size int, k1 bigint, k2 bigint, grams array<bigint>, longest int"
+_RANKED = "id bigint, k1 bigint, size bigint, weight bigint, ranked binary"
 
 
-def _reduce_slice(threshold: float):
-    """The documents of a slice that can join anything, their shared grams from the rarest to the commonest."""
+def _rank_slice(threshold: float):
+    """The sets of a slice that can be linked, their shared grams from the rarest to the commonest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = np.frombuffer(b"".join(pdf["heads"]), _HEAD)
-        grams = np.frombuffer(b"".join(pdf["grams"]), "<i8")
-        df, doc = np.frombuffer(b"".join(pdf["dfs"]), "<u4"), np.frombuffer(b"".join(pdf["docs"]), "<u2")
-        enough = np.maximum(1, np.ceil(heads["size"] * threshold - _EPS)).astype(np.int64)
-        able = np.bincount(doc, minlength=len(heads)) >= enough
-        keep = able[doc]
-        grams, df, doc = grams[keep], df[keep], doc[keep]
-        order = np.lexsort((grams, df, doc))
-        doc, grams = doc[order], grams[order]
-        cut = np.searchsorted(doc, np.arange(len(heads) + 1))
-        out = [(*heads[i][["id", "size", "k1", "k2"]].tolist(), grams[cut[i] : cut[i + 1]], int(enough[i]) // 2) for i in np.flatnonzero(able)]
-        return pd.DataFrame(out, columns=["id", "size", "k1", "k2", "grams", "longest"])
+        heads = _spread(pdf["rows"][pdf["rows"].notna()].iloc[0], "<i8").reshape(len(_ROW), -1).T
+        grams = np.concatenate([np.cumsum(_spread(g, "<u8"), dtype=np.uint64) for g in pdf["grams"]])
+        docs, df = (np.concatenate([_spread(x, k) for x in pdf[c]]) for c, k in (("docs", "<u2"), ("dfs", "<u4")))
+        order = np.lexsort((grams, df, docs))
+        docs, grams = docs[order], grams[order]
+        cut = np.searchsorted(docs, np.arange(len(heads) + 1))
+        able = np.flatnonzero(np.diff(cut) >= _needs(heads[:, 2], threshold))
+        return pd.DataFrame([(*heads[i].tolist(), grams[cut[i] : cut[i + 1]].tobytes()) for i in able], columns=[*_ROW, "ranked"])
 
     return run
 
 
 # --- step 3 -----------------------------------------------------------------------------------------------
 
+_PREFIX = "gram bigint, id bigint, home bigint, size int"
+
+
+def _prefixes(threshold: float):
+    """The size - T + 1 rarest grams of each set, T by its whole size."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                size = part["size"].to_numpy()
+                own = [np.frombuffer(x, "<i8") for x in part["ranked"].to_pylist()]
+                own = [x[: len(x) - t + 1] for x, t in zip(own, _needs(size, threshold))]
+                n = [len(x) for x in own]
+                columns = [np.concatenate(own), np.repeat(part["id"].to_numpy(), n), np.repeat(part["home"].to_numpy(), n), np.repeat(size, n).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "id", "home", "size"])
+
+    return run
+
+
+def _ranked_places(grams: pd.Series, places: pd.Series, ranked: pd.Series) -> pd.Series:
+    """The lines of the ranked grams, given those of all."""
+    return pd.Series([np.frombuffer(p, "<i4")[np.searchsorted(np.frombuffer(g, "<u8"), np.frombuffer(r, "<u8"))].tobytes() for g, p, r in zip(grams, places, ranked)], dtype=object)
+
+
+# --- step 4 -----------------------------------------------------------------------------------------------
+
 
 class Lists:
-    """Inverted lists of the documents of one shard."""
-
-    def __init__(self, ids, sizes, grams):
-        order = np.argsort(np.asarray(ids, np.int64), kind="stable")
-        self.ids, self.sizes = np.asarray(ids, np.int64)[order], np.asarray(sizes, np.int64)[order]
-        docs = np.repeat(np.arange(len(order)), [len(grams[i]) for i in order])
-        flat = np.concatenate([np.asarray(grams[i], np.int64) for i in order]) if len(order) else np.zeros(0, np.int64)
-        by = np.lexsort((docs, flat))
-        self.docs, flat = docs[by], flat[by]
-        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-        self.names, self.cut = flat[starts], np.append(starts, len(flat))
-
-    def of(self, grams: np.ndarray) -> list[np.ndarray]:
+    """Inverted lists of the documents of one shard, which are added in ascending order of their ids."""
+
+    def __init__(self):
+        self.lists, self.ids, self.sizes = {}, [], []
+
+    def add(self, ident: int, size: int, grams: list[int]) -> int:
+        d, lists = len(self.ids), self.lists
+        for g in grams:
+            held = lists.get(g)
+            if held is None:
+                lists[g] = d  # most lists have one entry
+            elif isinstance(held, list):
+                held.append(d)
+            else:
+                lists[g] = [held, d]
+        self.ids.append(ident)
+        self.sizes.append(size)
+        return d
+
+    def of(self, grams: list[int]) -> list[list[int]]:
         """The lists of these grams, those that are here, shortest first."""
-        at = np.searchsorted(self.names, grams)
-        at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == grams)]
-        at = at[np.argsort(self.cut[at + 1] - self.cut[at], kind="stable")]
-        return [self.docs[self.cut[i] : self.cut[i + 1]] for i in at]
+        found = [x if isinstance(x, list) else [x] for x in map(self.lists.get, grams) if x is not None]
+        found.sort(key=len)
+        return found
 
 
-def heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def heap_merge(lists: list[list[int]]) -> tuple[list[int], list[int]]:
     """Documents on the lists, and on how many each occurs."""
-    total = sum(map(len, lists))
-    if total > HEAP_ENTRIES:
-        return np.unique(np.concatenate(lists), return_counts=True)
-    docs, counts = [], []
-    for d in heapq.merge(*(x.tolist() for x in lists)):
-        if docs and docs[-1] == d:
-            counts[-1] += 1
+    docs, counts, last, n = [], [], -1, 0
+    for d in heapq.merge(*lists):
+        if d == last:
+            n += 1
         else:
-            docs.append(d)
-            counts.append(1)
-    return np.asarray(docs, np.int64), np.asarray(counts, np.int64)
-
-
-def divide_skip(index: Lists, grams: np.ndarray, size: int, threshold: float, before: int) -> list[tuple[int, int, int]]:
-    """(id, size, overlap) of the shard's documents with ids below ``before`` that join a set."""
+            if n:
+                docs.append(last)
+                counts.append(n)
+            last, n = d, 1
+    if n:
+        docs.append(last)
+        counts.append(n)
+    return docs, counts
+
+
+def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, before: int) -> list[tuple[int, int]]:
+    """(place, overlap) of the shard's documents with ids below ``before`` that are linked to a set."""
     t = need(size, threshold)
     lists = index.of(grams)
     if len(lists) < t:
@@ -200,142 +363,324 @@ def divide_skip(index: Lists, grams: np.ndarray, size: int, threshold: float, be
     apart = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1))) if longest > 1 else 0
     short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
     docs, counts = heap_merge(short)
-    live = (counts >= t - apart) & (index.ids[docs] < before) if len(docs) else np.zeros(0, np.bool_)
-    docs, counts = docs[live], counts[live]
-    both = index.sizes[docs]
-    required = np.maximum(t, np.ceil((both + size) * threshold / (1 + threshold) - _EPS)).astype(np.int64)
-    for k, x in enumerate(long):
-        live = counts + (len(long) - k) >= required
-        docs, counts, required = docs[live], counts[live], required[live]
-        if not len(docs):
-            return []
-        at = np.searchsorted(x, docs)
-        counts = counts + (x[np.minimum(at, len(x) - 1)] == docs)
-    live = counts >= required
-    return [(int(index.ids[d]), int(index.sizes[d]), int(c)) for d, c in zip(docs[live], counts[live])]
-
-
-_PAIR = "doc_a bigint, doc_b bigint, jaccard double"
-
-
-def _search(threshold: float):
-    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(asked):
-            index = Lists(held["id"].to_numpy(), held["size"].to_numpy(), held["grams"].tolist())
-            for qid, size, grams in zip(asked["id"], asked["size"], asked["grams"]):
-                for other, other_size, overlap in divide_skip(index, np.asarray(grams, np.int64), int(size), threshold, int(qid)):
-                    out.append((other, int(qid), overlap / (size + other_size - overlap)))
-        return pd.DataFrame(out, columns=["doc_a", "doc_b", "jaccard"]).astype({"doc_a": "int64", "doc_b": "int64", "jaccard": "float64"})
+    ids, sizes, out = index.ids, index.sizes, []
+    for d, n in zip(docs, counts):
+        if n + apart < t or ids[d] >= before:
+            continue
+        required = max(t, ceil((sizes[d] + size) * threshold / (1 + threshold) - _EPS))
+        left = apart
+        for x in long:
+            if n + left < required:
+                break
+            left -= 1
+            at = bisect_left(x, d)
+            n += at < len(x) and x[at] == d
+        if n >= required:
+            out.append((d, n))
+    return out
 
-    return run
 
+def _homes(batches):
+    """(home, kind, id, size, weight, ranked, the rest) of a partition sorted by home and, within it, with the residents first."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            yield from zip(*(part[c].to_pylist() for c in ("home", "kind", "id", "size", "weight", "ranked", "places", "lines", "counts")))
 
-# --- the join ---------------------------------------------------------------------------------------------
 
+def _numbers(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<i8").tolist()
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents at or above the threshold, doc_a < doc_b, in factored form.
 
-    Of documents with identical sets of grams, the least id stands for all: it's paired with each of the
-    others (jaccard 1.0), and alone with other sets.  This says the same as all pairs, and stays linear in
-    the size of a group of copies.  Words are lower-cased runs of letters and digits; a text with fewer words than
-    n has one gram.  A null, empty or wordless text joins nothing, nor does a row with a null id; rows repeated under an id
-    count as one; a pair at exactly the threshold joins.  An empty table gives no rows, other columns are
-    ignored, and texts count whole whatever their length.  Ids must be integers.
-    docs must give the same rows in the same order if read again, as tables do and maps and filters of them.
-    """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    blobs = narrow.mapInPandas(_extract(n, parts), _BLOB)
-    shared = Table(blobs.groupBy("bucket").applyInPandas(_reduce_bucket, _SHARED), "join-shared")
-    every = Table(shared.df.groupBy("slice").applyInPandas(_reduce_slice(threshold), _SET), "join-sets")
-    shared.drop()
-    # of documents with identical sets, the least id stands for all
-    leads = Table(every.df.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.count("*").alias("copies")), "join-leads")
-    star = every.df.select("k1", "k2", "id").join(leads.df.filter("copies > 1"), ["k1", "k2"]).filter("id <> lead").select(F.col("lead").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    sets = Table(every.df.join(leads.df.select("k1", "k2", F.col("lead").alias("id")), ["k1", "k2", "id"], "left_semi").select("id", "size", "grams", "longest"), "join-sets")
-
-    # Index shards: documents with the same least gram live together; a crowded shard is split by id.
-    bin_of = F.pmod(F.xxhash64(F.array_min("grams")), F.lit(4 * parts)).cast("int")
-    held = sets.df.withColumn("bin", bin_of).withColumn("m", F.size("grams"))
-    split = held.groupBy("bin").agg(F.ceil(F.sum("m") / F.lit(SHARD_POSTINGS)).cast("int").alias("ways"))
-    homes = held.join(F.broadcast(split), "bin")  # at most 4 * parts rows
-    homes = homes.withColumn("home", F.struct("bin", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int").alias("way")))
-    lists = homes.select("home", F.explode("grams").alias("gram")).distinct()
-    short = held.select("id", "longest", F.explode(F.expr("slice(grams, 1, greatest(m - longest, 0))")).alias("gram"), (F.ceil(F.col("size") * threshold - _EPS) - F.col("longest")).alias("least"))
-    routes = short.join(lists, "gram").groupBy("id", "home").agg(F.count("*").alias("k"), F.first("least").alias("least")).filter("k >= least").select("id", "home")
-    asked = routes.alias("r").join(sets.df.alias("s"), F.col("r.id") == F.col("s.id")).select("r.home", "s.id", "s.size", "s.grams")
-    sides = [x.select(F.col("home.bin").alias("bin"), F.col("home.way").alias("way"), F.col("id").alias("id"), F.col("size").alias("size"), F.col("grams").alias("grams")) for x in (homes, asked)]
-    found = sides[0].groupBy("bin", "way").cogroup(sides[1].groupBy("bin", "way")).applyInPandas(_search(threshold), _PAIR)
-    return star.unionByName(found).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-#: From this similarity on, a joined pair is a near copy.  Below, what both texts hold besides common lines has to confirm it.
+_FOUND = "id bigint, other bigint, links bigint"
+
+
+def _search_classes(threshold: float):
+    """For each document of a home or sent to it (id, a document of its class, links found here)."""
+
+    def run(batches):
+        home, out = None, []
+
+        def close():
+            if home is None:
+                return
+            for d, ident in enumerate(index.ids):
+                if links[d]:
+                    out.append((ident, index.ids[root(d)], links[d]))
+
+        def root(d: int) -> int:
+            while parent[d] != d:
+                parent[d] = d = parent[parent[d]]
+            return d
+
+        for at, kind, ident, size, weight, grams, *_ in _homes(batches):
+            if at != home:
+                close()
+                home, index, parent, links, weights = at, Lists(), [], [], []
+                if len(out) > 10_000:
+                    yield _batch(_FOUND, out)
+                    out = []
+            grams = _numbers(grams)
+            found = divide_skip(index, grams, size, threshold, ident)
+            lead = None
+            for d, _ in found:
+                links[d] += weight
+                d = root(d)
+                if lead is None:
+                    lead = d
+                elif d != lead:
+                    lead, d = min(lead, d), max(lead, d)
+                    parent[d] = lead
+            n = sum(weights[d] for d, _ in found)
+            if kind == 0:
+                mine = index.add(ident, size, grams)
+                parent.append(mine if lead is None else lead)
+                links.append(n)
+                weights.append(weight)
+            elif found:
+                out.append((ident, index.ids[lead], n))
+        close()
+        if out:
+            yield _batch(_FOUND, out)
+
+    return run
+
+
+#: From this similarity on, two documents are near copies.  Below, what both hold besides common lines has to confirm it.
 STRONG = 0.5
-#: The least similarity of the word pairs of two texts, without the lines that both hold, that confirms a near copy.
-LEAST_REST = 0.25
+#: The least similarity of the grams of two documents, without the lines that both hold, that confirms near copies.
+LEAST_REST = 0.2
+
+
+class _Lined:
+    """What a document's grams and lines are, for alike_beside_lines()."""
+
+    def __init__(self, size: int, grams: list[int], places: bytes, lines: bytes, counts: bytes):
+        self.size, self.grams, self.parts = size, grams, (places, lines, counts)
 
+    def open(self):
+        places, lines, counts = (np.frombuffer(x, k) for x, k in zip(self.parts, ("<i4", "<u8", "<u4")))
+        return dict(zip(self.grams, places.tolist())), lines.tolist(), counts.tolist()
 
-def alike_beside_lines(a: str, b: str) -> bool:
-    """Whether two texts are alike in more than some lines that both hold as they are."""
-    common = {x.strip() for x in a.split("\n")} & {x.strip() for x in b.split("\n")}
-    left = []
-    for text in (a, b):
-        words = [w for x in text.split("\n") if x.strip() not in common for w in _WORDS.findall(x.lower())]
-        left.append(Counter(zip(words, words[1:])))
-    either = sum((left[0] | left[1]).values())
-    return not either or sum((left[0] & left[1]).values()) >= LEAST_REST * either
 
+def alike_beside_lines(a: _Lined, b: _Lined) -> bool:
+    """Whether two documents are alike in more than some lines that both hold: in the grams that don't lie in these."""
+    (at_a, lines_a, counts_a), (at_b, lines_b, counts_b) = a.open(), b.open()
+    common = set(lines_a) & set(lines_b)
+    if not common:
+        return True
+    out_a, out_b = ({i for i, x in enumerate(lines) if x in common} for lines in (lines_a, lines_b))
+    both = sum(at_b.get(g, -2) not in out_b and g in at_b for g, i in at_a.items() if i not in out_a)
+    either = a.size - sum(counts_a[i] for i in out_a) + b.size - sum(counts_b[i] for i in out_b) - both
+    return not either or both >= LEAST_REST * either - _EPS
 
-def near_copies(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id) of every document that is a near copy of one that is kept, given the joined pairs and (id, text).
 
-    In the order of ids a document is dropped if it's a near copy of a smaller one that is kept, never through a chain.
-    Each round keeps the documents without an open pair to a smaller one, drops their near copies, and settles
-    the pairs of both.  Documents with identical sets of grams stand or fall together: the pairs of the least id are theirs.
+_EDGE = "a bigint, b bigint"
+
+
+def _search_near(threshold: float, every: bool):
+    """(a, b), a < b: b is a near copy of the resident a, which is none of a smaller resident that this holds for; (a, null): a resident a that is.
+
+    every: all residents count, and aren't asked themselves.
     """
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alike_beside_lines(x, y) for x, y in zip(a, b)], dtype="bool")
+    def run(batches):
+        home, out = None, []
+        for at, kind, ident, size, _, grams, places, lines, counts in _homes(batches):
+            if at != home:
+                home, index, held = at, Lists(), []
+            grams = _numbers(grams)
+            own = _Lined(size, grams, places, lines, counts)
+            near = []
+            if kind or not every:
+                for d, overlap in divide_skip(index, grams, size, threshold, ident):
+                    if overlap >= (STRONG - _EPS) * (size + index.sizes[d] - overlap) or alike_beside_lines(held[d], own):
+                        near.append(index.ids[d])
+            out += [(a, ident) for a in near]
+            if kind == 0:
+                if near:
+                    out.append((ident, None))
+                else:
+                    index.add(ident, size, grams)
+                    held.append(own)
+            if len(out) > 10_000:
+                yield _batch(_EDGE, out)
+                out = []
+        if out:
+            yield _batch(_EDGE, out)
 
-    texts = texts.filter("text is not null")
-    gone = pairs.filter("jaccard >= 1").select(F.col("doc_b").alias("id"))
-    left = Table(pairs.filter("jaccard < 1").select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"), (F.col("jaccard") >= STRONG - _EPS).alias("strong")), "near-left")
+    return run
+
+
+# --- the join ---------------------------------------------------------------------------------------------
+
+
+def _total(table: Table, column) -> int:
+    return int(table.df.agg(F.sum(column)).first()[0] or 0)
+
+
+class _Join:
+    """Steps 1 to 3: ``members`` (id, lead) of documents that another stands for, ``placed`` sets with their homes, and ``routes`` (id, home)."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, with_lines: bool = False):
+        self.threshold, self.tables = threshold, []
+        narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
+        if not stable(narrow):
+            narrow = self._table(narrow, "docs").df
+        # of documents with identical texts, the least id stands for all
+        named = narrow.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("bytes"))
+        texts = Table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.count_distinct("doc_id").alias("weight"), F.max("bytes").alias("bytes")), "join-texts")
+        buckets = max(1, -(-_total(texts, "bytes") // BUCKET_BYTES))
+        copied = texts.df.filter("weight > 1").select("h1", "h2", "lead")
+        copies = Table(named.join(copied, ["h1", "h2"]).filter("doc_id <> lead").select("h1", "h2", F.col("doc_id").alias("copy"), "lead").distinct(), "join-copies")
+        keys = [F.xxhash64("text") == F.col("h1"), F.xxhash64(F.lit("second"), "text") == F.col("h2"), F.col("doc_id") == F.col("copy")]
+        first = narrow.join(copies.side(), keys, "left_anti")
+
+        marks = first.mapInArrow(_mark(n, buckets), _MARKS).groupBy("bucket").applyInPandas(_count_marks, _HELD)
+        able = Table(marks.groupBy("slice").applyInPandas(_passing(threshold), "id bigint, size bigint"), "join-able")
+        buckets, bins = (max(1, -(-_total(able, "size") // x)) for x in (BUCKET_GRAMS, BIN_POSTINGS))
+        passed = first.join(able.side(), F.col("doc_id") == F.col("id"), "left_semi")
+        sets = Table(passed.mapInArrow(_name(n, with_lines), _SET), "join-sets")
+        able.drop()
+
+        # of documents with identical sets, the least id stands for all
+        heads = Table(sets.df.select("id", "k1", "k2").distinct().join(texts.df.groupBy(F.col("lead").alias("id")).agg(F.sum("weight").alias("weight")), "id"), "join-heads")
+        texts.drop()
+        classes = Table(heads.df.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.sum("weight").alias("weight"), F.count("*").alias("n")), "join-classes")
+        alike = Table(heads.df.join(classes.df.filter("n > 1"), ["k1", "k2"]).filter("id <> lead").select("id", "lead"), "join-alike")
+        heads.drop()
+        renamed = copies.df.select("copy", "lead").join(alike.df.select(F.col("id").alias("lead"), F.col("lead").alias("new")), "lead", "left").select(F.col("copy").alias("id"), F.coalesce("new", "lead").alias("lead"))
+        self.members = self._table(renamed.unionByName(alike.df).filter("id <> lead").distinct(), "members")
+        alike.drop()
+
+        one = classes.df.select("k1", "k2", F.col("lead").alias("id"), "weight")
+        whole = sets.df.join(one, ["k1", "k2", "id"]).dropDuplicates(["id", "k1"]) if with_lines else sets.df.drop("places", "lines", "counts").join(one, ["k1", "k2", "id"]).dropDuplicates(["id", "k1"])
+        blobs = whole.select(*_ROW, "grams").mapInArrow(_blobs(buckets), _GRAMS).groupBy("bucket").applyInPandas(_count_grams, _SHARED)
+        ranked = blobs.groupBy("slice").applyInPandas(_rank_slice(threshold), _RANKED)
+        if with_lines:
+            lined = whole.select("id", "k1", F.col("grams").alias("every"), F.col("places").alias("all_places"), "lines", "counts")
+            ranked = ranked.join(lined, ["id", "k1"]).select(*_ROW, "ranked", F.pandas_udf(_ranked_places, "binary")("every", "all_places", "ranked").alias("places"), "lines", "counts")
+        else:
+            ranked = ranked.select(*_ROW, "ranked", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lines", "counts")])
+        ranked = Table(ranked.withColumn("bin", F.pmod(F.xxhash64(F.expr("substring(ranked, -8, 8)")), F.lit(bins))), "join-ranked")
+        sets.drop()
+        classes.drop()
+        copies.drop()
+
+        crowded = ranked.df.groupBy("bin").agg(F.ceil(F.sum(F.length("ranked")) / F.lit(8 * SHARD_POSTINGS)).alias("ways")).filter("ways > 1")
+        crowded = self._table(crowded, "crowded")
+        home = F.col("bin") * F.lit(1 << 24) + F.pmod(F.xxhash64("id", "k1"), F.coalesce("ways", F.lit(1)))
+        self.placed = ranked.df.join(crowded.side(), "bin", "left").withColumn("home", home).drop("bin", "ways")
+        self.tables.append(ranked)
+        prefix = self.placed.select("id", "size", "ranked", "home").mapInArrow(_prefixes(threshold), _PREFIX)
+        lists = prefix.groupBy("gram", "home").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("id").alias("least"))
+        a, b = prefix.alias("a"), lists.alias("b")
+        near = (F.col("a.home") != F.col("b.home")) & (F.col("b.least") < F.col("a.id")) & (F.col("b.high") >= F.col("a.size") * F.lit(threshold) - _EPS) & (F.col("b.low") * F.lit(threshold) - _EPS <= F.col("a.size"))
+        self.routes = self._table(a.join(b, (F.col("a.gram") == F.col("b.gram")) & near).select("a.id", "b.home").distinct(), "routes")
+        self.tasks = max(bins, shuffle_partitions(docs.sparkSession))
+
+    def _table(self, df: DataFrame, name: str) -> Table:
+        self.tables.append(Table(df, f"join-{name}"))
+        return self.tables[-1]
+
+    def search(self, run, schema: str, residents: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """What ``run`` gives for each home's residents and the documents that are sent to it; by default all sets, and all by their routes."""
+        columns = ["home", "kind", "id", "size", "weight", "ranked", "places", "lines", "counts"]
+        sent = self.placed if asked is None else asked
+        sent = sent.drop("home").join(self.routes.side(), "id").withColumn("kind", F.lit(1)).select(*columns)
+        if asked is not None:
+            sent = sent.unionByName(asked.withColumn("kind", F.lit(1)).select(*columns))
+        rows = (self.placed if residents is None else residents).withColumn("kind", F.lit(0)).select(*columns).unionByName(sent)
+        return rows.repartition(self.tasks, "home").sortWithinPartitions("home", "kind", "id").mapInArrow(run, schema)
+
+    def drop(self) -> None:
+        for t in self.tables:
+            t.drop()
+
+
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every document that is linked to another.
+
+    links is the number of documents whose similarity to it is at or above the threshold; class_id is the least id among all
+    that links lead to from it, directly or through others.  Words are lower-cased runs of letters and digits; a text with fewer words than n has
+    one gram.  A null, empty or wordless text is linked to nothing, nor is a row with a null id; rows repeated under an id count as one,
+    and of different texts under one id the links are added up.  A pair at exactly the threshold is linked.  An empty table gives no rows, other
+    columns are ignored, and texts count whole whatever their length.  Ids must be integers.
+    """
+    join = _Join(docs, id_col, text_col, n, threshold)
+    found = Table(join.search(_search_classes(threshold), _FOUND), "join-found")
+    labels = components(found.df.select(F.col("id").alias("u"), F.col("other").alias("v")))
+    links = found.df.groupBy(F.col("id").alias("lead")).agg(F.sum("links").alias("found"))
+    members = join.members.df
+    every = members.unionByName(members.select(F.col("lead").alias("id"), "lead")).unionByName(found.df.select("id", F.col("id").alias("lead"))).distinct()
+    weights = members.groupBy("lead").agg(F.count("*").alias("copies"))
+    out = every.join(weights, "lead", "left").join(links, "lead", "left").join(labels.df.select(F.col("id").alias("lead"), "label"), "lead", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce("label", "lead").alias("class_id"), (F.coalesce("copies", F.lit(0)) + F.coalesce("found", F.lit(0))).alias("links"))
+    out = Table(out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")), "join-classes").df
+    for t in (found, labels, join):
+        t.drop()
+    return out
+
+
+def settle(edges: DataFrame) -> Table:
+    """(id) of the documents dropped, where in the order of ids a document is dropped if an edge (a, b) leads to it from a smaller one that is kept.
+
+    Each round keeps the documents without an open edge to them, drops what their edges lead to, and removes the edges of both.
+    """
+    left, dropped = Table(edges.select("a", "b").distinct(), "near-left"), []
     while not left.df.isEmpty():
-        kept = left.df.select("u").distinct().join(left.df.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-        now = Table(left.df.join(kept, "u", "left_semi"), "near-now")
-        sure = now.df.filter("strong").select("v").distinct()
-        weak = Table(now.df.filter("not strong").join(sure, "v", "left_anti").select("u", "v"), "near-weak")
-        dropped = sure
-        if not weak.df.isEmpty():
-            first = texts.join(weak.side(), F.col("id") == F.col("u")).select("v", F.col("text").alias("a"))
-            second = texts.join(weak.side().select("v").distinct(), F.col("id") == F.col("v"), "left_semi")
-            dropped = sure.unionByName(first.join(second, F.col("id") == F.col("v")).filter(alike("a", "text")).select("v").distinct())
-        dropped = Table(dropped, "near-dropped")
-        weak.drop()
-        gone = gone.unionByName(dropped.df.select(F.col("v").alias("id")))
-        done = dropped.df.unionByName(now.df.select(F.col("u").alias("v"))).distinct()
-        rest = left.df.join(done.withColumnRenamed("v", "u"), "u", "left_anti").join(dropped.df, "v", "left_anti")
-        new = Table(rest.select("u", "v", "strong"), "near-left")
-        now.drop()
+        kept = left.df.select("a").distinct().join(left.df.select(F.col("b").alias("a")), "a", "left_anti")
+        now = Table(left.df.join(kept, "a", "left_semi").select("b").distinct(), "near-dropped")
+        dropped.append(now)
+        rest = left.df.join(now.side(), "b", "left_anti").join(now.side().withColumnRenamed("b", "a"), "a", "left_anti")
+        rest = Table(rest.select("a", "b"), "near-left")
         left.drop()
-        left = new
-    left.drop()
-    return gone.distinct()
+        left = rest
+    out = left.df.select(F.col("b").alias("id"))
+    for t in dropped:
+        out = out.unionByName(t.df.select(F.col("b").alias("id")))
+    out = Table(out, "near-gone")
+    for t in (left, *dropped):
+        t.drop()
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> Table:
+    """(id) of every document that is a near copy of one with a smaller id that stays, never through a chain.
+
+    Near copies are linked, and their similarity is STRONG or more or they are alike beside their common lines.  A
+    home sends edges from those of its residents only that are near copies of no smaller such resident; one of the others that stays after all,
+    as its near copies at home were dropped for some document elsewhere, is searched for once more.
+    """
+    join = _Join(docs, id_col, text_col, n, threshold, with_lines=True)
+    first = Table(join.search(_search_near(threshold, False), _EDGE), "near-edges")
+    parts, done = [first], []
+    while True:
+        edges = parts[0].df.filter("b is not null")
+        for t in parts[1:]:
+            edges = edges.unionByName(t.df)
+        gone = settle(edges)
+        unsure = first.df.filter("b is null").select(F.col("a").alias("id")).distinct().join(gone.side(), "id", "left_anti")
+        for t in done:
+            unsure = unsure.join(t.df, "id", "left_anti")
+        unsure = Table(unsure, "near-unsure")
+        done.append(unsure)
+        if unsure.df.isEmpty():
+            break
+        stay = join.placed.join(gone.side(), "id", "left_anti")
+        parts.append(Table(join.search(_search_near(threshold, True), _EDGE, join.placed.join(unsure.side(), "id", "left_semi"), stay), "near-edges"))
+        gone.drop()
+    out = Table(gone.df.unionByName(join.members.df.select("id")).distinct(), "near-gone")
+    for t in (*parts, *done, gone, join):
+        t.drop()
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the near copies of documents that stay, with all columns.
+    """docs without the near copies of documents that stay, with all columns; see near_copies().
 
-    A near copy is joined to a document with a smaller id that stays, and its similarity to it is STRONG or more, or they are
-    alike in more than lines that both hold; see near_copies().  Rows repeated under one id are one document and stay or go
-    together; rows with a null id stay.  The other cases are as in ngram_jaccard_join().
+    Documents with identical sets of grams are copies, of which the least id may stay.  Rows repeated under one id are one document and stay
+    or go together; rows with a null id stay.  The other cases are as in ngram_classes().
     """
-    pairs = Table(ngram_jaccard_join(docs, id_col, text_col, n, threshold), "near-pairs")
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    gone = Table(near_copies(pairs.df, texts), "near-gone")
-    pairs.drop()
+    gone = near_copies(docs, id_col, text_col, n, threshold)
     return unpacked(packed(docs).join(gone.side(), F.col("row").getField(id_col).cast("bigint") == F.col("id"), "left_anti"), docs)

@@ -8,7 +8,7 @@ from . import bpe
 from .exact import exact_pairs
 from .license import scan_licenses
 from .lines import line_duplicates
-from .njoin import ngram_jaccard_join
+from .njoin import ngram_classes
 from .packing import pack
 from .quality import quality_report
 from .secrets import scan_secrets
@@ -49,7 +49,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_documents(spark, sf_dir))
+    return ngram_classes(_documents(spark, sf_dir))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
