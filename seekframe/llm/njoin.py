@@ -335,25 +335,39 @@ class Lists:
         return found
 
 
-def heap_merge(lists: list[list[int]]) -> tuple[list[int], list[int]]:
-    """Documents on the lists, and on how many each occurs."""
-    docs, counts, last, n = [], [], -1, 0
-    for d in heapq.merge(*lists):
-        if d == last:
+def heap_merge(lists: list[list[int]], least: int = 1) -> list[tuple[int, int]]:
+    """(document, on how many of the lists it is) of the documents on ``least`` lists or more, ascending.
+
+    The heap holds one number for each list, its next document and its own number behind it; a document's lists leave the heap together.
+    """
+    bits = len(lists).bit_length()
+    mask = (1 << bits) - 1
+    heap = [x[0] << bits | i for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    rest = [iter(x) for x in lists]
+    for it in rest:
+        next(it)
+    out, replace, pop = [], heapq.heapreplace, heapq.heappop
+    while heap:
+        d, n = heap[0] >> bits, 0
+        end = (d + 1) << bits
+        while heap and (top := heap[0]) < end:
             n += 1
-        else:
-            if n:
-                docs.append(last)
-                counts.append(n)
-            last, n = d, 1
-    if n:
-        docs.append(last)
-        counts.append(n)
-    return docs, counts
-
-
-def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, before: int) -> list[tuple[int, int]]:
-    """(place, overlap) of the shard's documents with ids below ``before`` that are linked to a set."""
+            after = next(rest[top & mask], None)
+            if after is None:
+                pop(heap)
+            else:
+                replace(heap, after << bits | top & mask)
+        if n >= least:
+            out.append((d, n))
+    return out
+
+
+def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, before: int, sure: float = 1.0) -> list[tuple[int, int]]:
+    """(place, overlap) of the shard's documents with ids below ``before`` that are linked to a set.
+
+    An overlap that makes the similarity ``sure`` or more is one found by then; the lists left aren't probed for the rest of it.
+    """
     t = need(size, threshold)
     lists = index.of(grams)
     if len(lists) < t:
@@ -362,15 +376,16 @@ def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, bef
     longest = len(lists[-1])
     apart = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1))) if longest > 1 else 0
     short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
-    docs, counts = heap_merge(short)
     ids, sizes, out = index.ids, index.sizes, []
-    for d, n in zip(docs, counts):
-        if n + apart < t or ids[d] >= before:
-            continue
-        required = max(t, ceil((sizes[d] + size) * threshold / (1 + threshold) - _EPS))
+    for d, n in heap_merge(short, t - apart):
+        if ids[d] >= before:
+            break
+        both = sizes[d] + size
+        required = max(t, ceil(both * threshold / (1 + threshold) - _EPS))
+        enough = max(required, both * sure / (1 + sure))
         left = apart
         for x in long:
-            if n + left < required:
+            if n + left < required or n >= enough:
                 break
             left -= 1
             at = bisect_left(x, d)
@@ -421,7 +436,7 @@ def _search_classes(threshold: float):
                     yield _batch(_FOUND, out)
                     out = []
             grams = _numbers(grams)
-            found = divide_skip(index, grams, size, threshold, ident)
+            found = divide_skip(index, grams, size, threshold, ident, threshold)
             lead = None
             for d, _ in found:
                 links[d] += weight
@@ -493,7 +508,7 @@ def _search_near(threshold: float, every: bool):
             own = _Lined(size, grams, places, lines, counts)
             near = []
             if kind or not every:
-                for d, overlap in divide_skip(index, grams, size, threshold, ident):
+                for d, overlap in divide_skip(index, grams, size, threshold, ident, STRONG):
                     if overlap >= (STRONG - _EPS) * (size + index.sizes[d] - overlap) or alike_beside_lines(held[d], own):
                         near.append(index.ids[d])
             out += [(a, ident) for a in near]

@@ -63,6 +63,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality_rules, op4_sharding, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_ngram_join, op9_secret_scan, op10_repeats)}
 
 ORACLE_SQL = {
+    "op8_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+         g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1)::BIGINT + 1)) AS i FROM w WHERE len(w) > 0)),
+         s AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+         o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+         p AS MATERIALIZED (SELECT x, y FROM o JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE n >= 0.3 * (a.size + b.size - n) - 1e-9),
+         e AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+         r AS (SELECT DISTINCT x AS doc_id, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
+        SELECT doc_id, min(root) AS class_id, links FROM r JOIN (SELECT x AS doc_id, count(*) AS links FROM e GROUP BY x) USING (doc_id) GROUP BY ALL""",
     "op6_exact_dedup": """
         SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> keep_id""",

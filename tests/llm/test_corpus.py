@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seekframe.llm import bpe, exact, license, lines, njoin, packing, quality, secrets, sharding, suffix
+from seekframe.llm import bpe, exact, license, lines, packing, quality, secrets, sharding, suffix
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -42,13 +42,6 @@ def nothing(docs):
     return docs.limit(0)
 
 
-def grams(text, n=njoin.N):
-    import re
-
-    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
-
-
 def test_quality(spark, docs, nothing):
     got = {r["doc_id"]: r["reason"] for r in quality.quality_report(docs).collect()}
     assert got[6] == "null" and got[7] == got[8] == "empty" and got[1] is None
@@ -73,67 +66,6 @@ def test_exact_pairs(docs, texts, nothing):
     assert kept.columns == docs.columns and set(rows) == {t for _, t in texts} and all(v == 1 for t, v in rows.items())
 
 
-def test_ngram_join(docs, texts, nothing):
-    sets = {}
-    for i, t in texts:
-        if i is not None and grams(t):
-            sets[i] = grams(t)
-    lead = {}
-    for i in sorted(sets):
-        lead.setdefault(frozenset(sets[i]), i)
-    want = {(lead[frozenset(s)], i): 1.0 for i, s in sets.items() if lead[frozenset(s)] != i}
-    reps = sorted(lead.values())
-    for x, a in enumerate(reps):
-        for b in reps[x + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= njoin.THRESHOLD:
-                want[a, b] = j
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in njoin.ngram_jaccard_join(docs).collect()}
-    assert got == pytest.approx(want) and (1, 2) in got
-    assert njoin.ngram_jaccard_join(nothing).count() == 0
-    kept = njoin.near_dedup(docs)
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    assert kept.columns == docs.columns and 1 in ids and not {2, 3, 10, 11} & set(ids) and ids[None] == 1 and ids[6] == 1
-
-
-def test_join_of_documents_equals_brute_force(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    sets = {r["doc_id"]: grams(r["text"]) for r in d.collect()}
-    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= njoin.THRESHOLD * len(sets[a] | sets[b])}
-    found = {frozenset((r["doc_a"], r["doc_b"])) for r in njoin.ngram_jaccard_join(d).collect()}
-    lead = {}
-    for i in sorted(sets):
-        lead.setdefault(frozenset(sets[i]), i)
-    assert {frozenset({lead[frozenset(sets[a])], lead[frozenset(sets[b])]}) for a, b in near if lead[frozenset(sets[a])] != lead[frozenset(sets[b])]} == {f for f in found if len({frozenset(sets[x]) for x in f}) == 2}
-
-
-def test_near_stage_keeps_documents_that_share_only_lines(spark):
-    r = random.Random(8)
-    line, base = words(r, 13, 10**6), words(r, 60, 10**6).split()
-    other = lambda k: words(r, k, 10**6)
-    # 1 and 2 share a line with 3 only; 11 to 13 are a chain of which only neighbours are near copies
-    rows = [(1, other(5) + "\n" + line + "\n" + other(6)), (2, line + "\n" + other(11)), (3, line + "\n" + other(5))]
-    rows += [(11, " ".join(base[:48])), (12, " ".join(base[6:54])), (13, " ".join(base[12:60] + other(14).split())), (14, " ".join(base[:24] + ["changed"] + base[25:36] + ["changed"] + base[37:48]))]
-    sets = {i: grams(t) for i, t in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert min(alike(1, 3), alike(2, 3)) >= njoin.THRESHOLD and alike(12, 13) >= njoin.STRONG and alike(11, 12) >= njoin.STRONG and alike(11, 13) > njoin.THRESHOLD - 0.1
-    d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {x["doc_id"] for x in njoin.near_dedup(d).collect()}
-    assert {1, 2, 3, 11} <= kept and not {12, 14} & kept
-    copied = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.7), (3, 4, 0.8), (2, 5, 1.0), (7, 8, 0.4), (7, 9, 0.45)], "doc_a bigint, doc_b bigint, jaccard double")
-    texts = spark.createDataFrame([(7, "a b c d\ne f g h"), (8, "a b c d\nw x y z"), (9, "a b c d e f g k")], "id bigint, text string")
-    assert {x["id"] for x in njoin.near_copies(copied, texts).collect()} == {2, 4, 5, 9}
-
-
-def test_divide_skip_equals_counting():
-    r = random.Random(0)
-    sets = [sorted(r.sample(range(200), r.randrange(1, 60))) for _ in range(80)]
-    index = njoin.Lists(range(80), [len(s) for s in sets], [np.array(s) for s in sets])
-    for q in range(80):
-        want = {(i, len(sets[i]), len(set(sets[i]) & set(sets[q]))) for i in range(q) if len(set(sets[i]) & set(sets[q])) >= 0.3 * len(set(sets[i]) | set(sets[q])) - 1e-9}
-        assert set(njoin.divide_skip(index, np.array(sets[q]), len(sets[q]), 0.3, q)) == want
-
-
 TOKEN = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
 
 
@@ -404,32 +336,3 @@ def test_family_levels_shrink_geometrically():
         seen = fresh | seen
         sizes = [len(x) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
-
-
-def test_pipeline_equals_brute_force(spark):
-    import corpus_pipeline as p
-
-    assert [n for n, _ in p.STAGES] == ["quality", "exact", "near", "secrets", "packing"]
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in d.collect() if quality.measure(r["text"])[5]}
-    first = {}
-    for i in sorted(rows):
-        first.setdefault(rows[i], i)
-    rows = {i: t for t, i in first.items()}
-    sets, keep = {i: grams(t) for i, t in rows.items()}, {i: i for i in rows}
-
-    def root(i):
-        while keep[i] != i:
-            i = keep[i]
-        return i
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= njoin.THRESHOLD * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                keep[max(x, y)] = min(x, y)
-    want = {i: len(secrets.mask_text(rows[i]).split()) for i in rows if root(i) == i}
-    got = p.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r["doc_id"]: r["n"] for r in got} == {i: n for i, n in want.items() if n}
-    for name, stage in p.STAGES[:-1]:
-        assert stage(spark, d, SF).columns == d.columns, name
