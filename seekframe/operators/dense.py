@@ -1,7 +1,7 @@
 """Dense retrieval: exact, 8-bit and binary-prefiltered scans of (doc_id, embedding) by (query_id, query).
 
-Queries meet vectors in a nested-loop join, of which Spark broadcasts a side only by its known size; scores are
-reduced to k for each query in each partition before they are shuffled.
+Two scorers give the same results: "block" multiplies blocks of vectors by blocks of queries and lets only the k best of each query leave
+a block, "sql" scores pairs of rows in expressions.
 """
 
 from __future__ import annotations
@@ -10,20 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from . import block
 from .topk import top_k
 
 OVERQUERY = 16
+SCORERS = ("block", "sql")
 
 
-def flat(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All scores; vectors of another dimension than the query's are skipped."""
+def _check(scorer: str) -> str:
+    if scorer not in SCORERS:
+        raise ValueError(f"no scorer {scorer!r}; there are {', '.join(SCORERS)}")
+    return scorer
+
+
+def _blocks(vectors: DataFrame, queries: DataFrame, product, k: int | None, kind: str = "<f8", values: str = "embedding", asked: str = "query", scales=(None, None)) -> DataFrame:
+    v = block.pack(vectors, "doc_id", values, kind, scales[0])
+    q = block.pack(queries, "query_id", asked, kind, scales[1], rows=block.QUERY_ROWS, as_name="q")
+    return block.scored(v, q, "doc_id", "query_id", product, k)
+
+
+def _limit(k: int) -> int | None:
+    return k if k > 0 else None
+
+
+def flat(vectors: DataFrame, queries: DataFrame, scorer: str = "block", k: int | None = None) -> DataFrame:
+    """All scores; vectors of another dimension than the query's are skipped.  With k, at least the k best of each query."""
+    if _check(scorer) == "block":
+        return _blocks(vectors, queries, block.dot, k)
     both = vectors.select("doc_id", "embedding").crossJoin(queries.select("query_id", "query")).filter(F.size("embedding") == F.size("query"))
     return both.select("query_id", "doc_id", V.dot(F.col("embedding"), F.col("query")).alias("score"))
 
 
-def flat_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep=None) -> DataFrame:
+def flat_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep=None, scorer: str = "block") -> DataFrame:
     """The k best; k <= 0 ranks all.  keep is applied before anything is scored."""
-    return top_k(flat(vectors if keep is None else vectors.filter(keep), queries), k, ["query_id"], nonpositive_k="all")
+    return top_k(flat(vectors if keep is None else vectors.filter(keep), queries, scorer, _limit(k)), k, ["query_id"], nonpositive_k="all")
 
 
 def build_i8(vectors: DataFrame, dim: int) -> DataFrame:
@@ -33,15 +53,17 @@ def build_i8(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("doc_id", V.quantize_i8(fixed).alias("q")).select("doc_id", "q.codes", "q.scale")
 
 
-def i8(index: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
-    """Scores of quantized queries; a query of another dimension has none."""
+def i8(index: DataFrame, queries: DataFrame, dim: int, scorer: str = "block", k: int | None = None) -> DataFrame:
+    """Scores of quantized queries; a query of another dimension has none.  With k, at least the k best of each query."""
     q = queries.filter(F.size("query") == dim).select("query_id", V.quantize_i8(F.col("query"), 0.0).alias("q"))
+    if _check(scorer) == "block":
+        return _blocks(index, q.select("query_id", "q.codes", "q.scale"), block.int8_dot, k, "i1", "codes", "codes", ("scale", "scale"))
     both = index.crossJoin(q)
     return both.select("query_id", "doc_id", (V.int_dot(F.col("codes"), F.col("q.codes")) * F.col("q.scale") * F.col("scale")).alias("score"))
 
 
-def i8_top_k(index: DataFrame, queries: DataFrame, k: int, dim: int, keep=None) -> DataFrame:
-    return top_k(i8(index if keep is None else index.filter(keep), queries, dim), k, ["query_id"], nonpositive_k="all")
+def i8_top_k(index: DataFrame, queries: DataFrame, k: int, dim: int, keep=None, scorer: str = "block") -> DataFrame:
+    return top_k(i8(index if keep is None else index.filter(keep), queries, dim, scorer, _limit(k)), k, ["query_id"], nonpositive_k="all")
 
 
 def center(vectors: DataFrame, dim: int) -> DataFrame:
@@ -58,22 +80,36 @@ def build_binary(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def binary_candidates(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, dim: int, overquery: int = OVERQUERY, keep=None) -> DataFrame:
-    """The k * overquery nearest by sign bits, (distance, id) ascending; keep is applied here."""
-    q = queries.filter(F.size("query") == dim).crossJoin(center(vectors, dim)).withColumn("qbits", V.sign_words(F.col("query"), F.col("center"))).drop("center")
-    near = (index if keep is None else index.filter(keep)).crossJoin(q).withColumn("distance", V.hamming(F.col("bits"), F.col("qbits")))
-    return top_k(near.withColumn("score", -F.col("distance").cast("double")), k * overquery, ["query_id"]).drop("score", "rank")
+    """(query_id, doc_id, distance): the k * overquery nearest by sign bits, (distance, id) ascending; keep is applied here."""
+    q = queries.filter(F.size("query") == dim).crossJoin(center(vectors, dim)).select("query_id", V.sign_words(F.col("query"), F.col("center")).alias("bits"))
+    kept = index if keep is None else index.filter(keep)
+    near = _blocks(kept, q, block.neg_hamming, k * overquery, "<i8", "bits", "bits")
+    return top_k(near, k * overquery, ["query_id"]).select("query_id", "doc_id", (-F.col("score")).cast("int").alias("distance"))
 
 
 def binary_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, overquery: int = OVERQUERY, rerank: str = "f32", keep=None) -> DataFrame:
     """Binary prefilter, then exact ("f32") or 8-bit ("i8") scores of the candidates; exact over all where it would prune nothing."""
     if k <= 0:
         return flat_top_k(vectors, queries, k, keep) if rerank == "f32" else i8_top_k(build_i8(vectors, dim), queries, k, dim, keep)
-    index, asked = build_binary(vectors, dim), queries
+    found = binary_candidates(build_binary(vectors, dim), vectors, queries, k, dim, overquery, keep)
+    held, asked = vectors.select("doc_id", "embedding"), queries.select("query_id", "query")
+    score = V.dot(F.col("embedding"), F.col("query"))
     if rerank == "i8":  # codes are made once for each vector, before the join
-        index, asked = index.withColumn("d", V.quantize_i8(F.col("embedding"))), queries.withColumn("q", V.quantize_i8(F.col("query"), 0.0))
-    found = binary_candidates(index, vectors, asked, k, dim, overquery, keep)
-    score = V.dot(F.col("embedding"), F.col("query")) if rerank == "f32" else V.int_dot(F.col("d.codes"), F.col("q.codes")) * F.col("q.scale") * F.col("d.scale")
-    return top_k(found.select("query_id", "doc_id", score.alias("score")), k, ["query_id"])
+        held, asked = vectors.select("doc_id", V.quantize_i8(F.col("embedding")).alias("d")), queries.select("query_id", V.quantize_i8(F.col("query"), 0.0).alias("q"))
+        score = V.int_dot(F.col("d.codes"), F.col("q.codes")) * F.col("q.scale") * F.col("d.scale")
+    both = found.join(held, "doc_id").join(asked, "query_id")
+    return top_k(both.select("query_id", "doc_id", score.alias("score")), k, ["query_id"])
+
+
+def max_sim(matrices: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) by late interaction of (doc_id, matrix) and (query_id, matrix); with k, at least the k best of each query."""
+    v = block.pack(matrices, "doc_id", "matrix", "<f8", matrix=True, rows=1024)
+    q = block.pack(queries, "query_id", "matrix", "<f8", matrix=True, rows=256, as_name="q")
+    return block.scored(v, q, "doc_id", "query_id", block.max_sim, k)
+
+
+def max_sim_top_k(matrices: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return top_k(max_sim(matrices, queries, _limit(k)), k, ["query_id"])
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

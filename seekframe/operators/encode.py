@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import erf
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,23 +11,50 @@ from pyspark.sql import functions as F
 def static_embed(ids: DataFrame, vocab: DataFrame, normalize: bool = True) -> DataFrame:
     """(doc_id, pos, y): the weighted mean of the rows of (doc_id, ids) in (id, embedding, weight); unknown ids are skipped.
 
-    Ids are counted for each document first, so a document meets each vocabulary row once.  A document without known ids has no rows.
+    Ids are counted for each document first, so a document meets each vocabulary row once.  A document without known ids is a zero vector.
     """
+    width = vocab.select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("pos")).distinct()
+    every = ids.select("doc_id").distinct().crossJoin(width)
     counts = ids.select("doc_id", F.explode("ids").alias("id")).groupBy("doc_id", "id").agg(F.count("*").alias("k"))
     rows = vocab.select("id", "weight", F.posexplode("embedding").alias("pos", "x"))
     both = counts.join(rows, "id").groupBy("doc_id", "pos").agg(F.sum(F.col("k") * F.col("x").cast("double") * F.col("weight")).alias("s"), F.sum(F.col("k") * F.col("weight")).alias("w"))
     mean = both.select("doc_id", "pos", F.when(F.col("w") != 0, F.col("s") / F.col("w")).otherwise(F.lit(0.0)).alias("y"))
+    mean = every.join(mean, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("y", F.lit(0.0)).alias("y"))
     if not normalize:
         return mean
     norm = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("doc_id")))
     return mean.withColumn("n", norm).select("doc_id", "pos", F.when(F.col("n") < 1e-12, F.lit(0.0)).otherwise(F.col("y") / F.col("n")).alias("y"))
 
 
-_erf = np.vectorize(erf, otypes=[np.float64])
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function: its Taylor series below 2.5, above it a continued fraction of the complement, both to 1e-12."""
+    x = np.asarray(x, np.float64)
+    near, a = np.clip(x, -2.5, 2.5), np.maximum(np.abs(x), 2.5)
+    term = total = near.copy()
+    for n in range(1, 60):
+        term = -term * near * near / n
+        total = total + term / (2 * n + 1)
+    tail = a.copy()
+    for n in range(60, 0, -1):
+        tail = a + n / 2 / tail
+    far = 1 - np.exp(-a * a) / (np.sqrt(np.pi) * tail)
+    return np.where(np.abs(x) <= 2.5, total * 2 / np.sqrt(np.pi), np.sign(x) * far)
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return x * 0.5 * (1 + _erf(x / np.sqrt(2)))
+    return x * 0.5 * (1 + erf(x / np.sqrt(2)))
+
+
+def gelu_tanh(x: np.ndarray) -> np.ndarray:
+    return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+
+
+def silu(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.exp(-x))
+
+
+def swiglu(gate: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return silu(gate) * up
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -144,4 +144,4 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, keep=Non
     shards = graphs.select(F.col("shard").alias("to")).distinct()
     sent = queries.select("query_id", "query").crossJoin(shards)
     found = graphs.groupBy("shard").cogroup(sent.groupBy("to")).applyInPandas(per_shard, "query_id bigint, doc_id bigint, score double")
-    return top_k(found, k, ["query_id"])
+    return top_k(found, max(0, k), ["query_id"])

@@ -1,19 +1,30 @@
-"""Lexical retrieval: BM25 over token arrays.
+"""Lexical retrieval: BM25 over token arrays, or over a kept index.
 
 Only a corpus's token counts and the postings of the queries' terms are aggregated: postings of other terms are dropped by the
-join with the terms right after they are exploded, before any shuffle.
+join with the terms right after they are exploded, before any shuffle.  The corpus is tokenized once for a query: each document also counts as a
+posting of the term MARK, from which its length comes, and what the statistics need is read from the same exchange as the postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
+from .rows import spread
+from .topk import threshold
+
 K1, B = 1.5, 0.75
+#: No analyzer gives an empty token.
+MARK = ""
+#: Queries of more terms aren't pruned: their bounds hardly ever exclude a term.
+PRUNED_TERMS = 8
 
 
 def tokens(docs: DataFrame, analyzer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), analyzer(F.col(text_col)).alias("tokens"))
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", analyzer(F.col("text")).alias("tokens"))
 
 
 def postings(toks: DataFrame) -> DataFrame:
@@ -48,29 +59,44 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("tokens").alias("term")).distinct()
 
 
-def _hits(toks: DataFrame, qt: DataFrame) -> DataFrame:
-    held = toks.select("doc_id", F.size("tokens").cast("bigint").alias("len"), F.explode("tokens").alias("term"))
-    return held.join(qt.select("term").distinct(), "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+def _marked(toks: DataFrame, qt: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf) of the queries' terms, and of MARK once for each document."""
+    marked = toks.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("len"), F.explode(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit(MARK)))).alias("term"))
+    wanted = qt.select("term").union(qt.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
+    return marked.join(wanted, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def _parts(toks: DataFrame, qt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, df of their terms, corpus), all of one pass."""
+    marked = _marked(toks, qt)
+    hits = marked.filter(F.col("term") != MARK)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+    return hits, df, marked.filter(F.col("term") == MARK).agg(F.count("*").alias("n"), F.coalesce(F.sum("len") / F.count("*"), F.lit(0.0)).alias("avgdl"))
 
 
 def document_frequency(toks: DataFrame, queries: DataFrame) -> DataFrame:
     """(term, df, idf) of the queries' terms; 0 and 0 for one that no document has."""
     qt = query_terms(queries)
-    df = _hits(toks, qt).groupBy("term").agg(F.count("*").alias("df"))
-    both = qt.select("term").distinct().join(df, "term", "left").crossJoin(corpus(toks))
+    _, df, stats = _parts(toks, qt)
+    both = qt.select("term").distinct().join(df, "term", "left").crossJoin(stats)
     known = F.coalesce(F.col("df"), F.lit(0))
     return both.select("term", known.alias("df"), F.when(known > 0, idf(F.col("n"), F.col("df"))).otherwise(F.lit(0.0)).alias("idf"))
 
 
+def _weight(k1: float, b: float, tf: str = "tf", length: str = "len"):
+    norm = F.when(F.col("avgdl") > 0, F.col(length) / F.col("avgdl")).otherwise(F.lit(0.0))
+    return idf(F.col("n"), F.col("df")) * (F.col(tf) * F.lit(k1 + 1)) / (F.col(tf) + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * norm))
+
+
+def _scores(hits: DataFrame, df: DataFrame, stats: DataFrame, qt: DataFrame, k1: float, b: float) -> DataFrame:
+    weighed = hits.join(df.select("term", "df"), "term").crossJoin(stats).select("doc_id", "term", _weight(k1, b).alias("weight"))
+    return weighed.join(qt, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+
+
 def bm25(toks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of the documents that hold a term of a query; a query's terms count once each."""
     qt = query_terms(queries)
-    hits = _hits(toks, qt)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    norm = F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(F.lit(0.0))
-    weight = idf(F.col("n"), F.col("df")) * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * norm))
-    scored = hits.join(df, "term").crossJoin(corpus(toks)).join(qt, "term")
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    return _scores(*_parts(toks, qt), qt, k1, b)
 
 
 def scores_all(toks: DataFrame, queries: DataFrame, **tuned) -> DataFrame:
@@ -79,29 +105,99 @@ def scores_all(toks: DataFrame, queries: DataFrame, **tuned) -> DataFrame:
     return every.join(bm25(toks, queries, **tuned), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _bounds(df: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    return df.crossJoin(stats).select("term", "df", _weight(k1, b, "max_tf", "min_len").alias("bound"))
+
+
 def upper_bounds(toks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(term, bound): what a term can add to a score at most."""
-    qt = query_terms(queries)
-    own = _hits(toks, qt).groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).crossJoin(corpus(toks))
-    low = F.when(F.col("avgdl") > 0, F.col("min_len") / F.col("avgdl")).otherwise(F.lit(0.0))
-    top = idf(F.col("n"), F.col("df")) * (F.col("max_tf") * F.lit(k1 + 1)) / (F.col("max_tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * low))
-    return own.select("term", top.alias("bound"))
-
-
-def bm25_pruned(toks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """bm25() without documents whose summed bounds lie below the k-th best score among the documents of each query's rarest term.
-
-    Exact for the k best.  Negative k1 or b have no bounds, so nothing is pruned then.
-    """
-    if k1 < 0 or b < 0 or k <= 0:
-        return bm25(toks, queries, k1, b)
-    from .topk import threshold
-
-    qt, full = query_terms(queries), bm25(toks, queries, k1, b)
-    hits = _hits(toks, qt).select("doc_id", "term")
-    bounds = upper_bounds(toks, queries, k1, b)
-    reach = hits.join(bounds, "term").join(qt, "term").groupBy("query_id", "doc_id").agg((F.sum("bound") * F.lit(1 + 1e-12)).alias("reach"))
-    rare = qt.join(bounds, "term").groupBy("query_id").agg(F.max_by("term", "bound").alias("term"))
-    theta = threshold(full.join(hits.join(rare, "term").select("query_id", "doc_id"), ["query_id", "doc_id"]), k, ["query_id"])
-    alive = reach.join(theta, "query_id", "left").filter(F.col("threshold").isNull() | (F.col("reach") >= F.col("threshold")))
-    return full.join(alive.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    _, df, stats = _parts(toks, query_terms(queries))
+    return _bounds(df, stats, k1, b).select("term", "bound")
+
+
+# --- a kept index -----------------------------------------------------------------------------------------
+
+
+@dataclass
+class Index:
+    """postings (term, doc_id, len, tf), terms (term, df, max_tf, min_len), docs (doc_id, len) and corpus (n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    corpus: DataFrame
+
+    @classmethod
+    def build(cls, spark: SparkSession, toks: DataFrame, path: str) -> Index:
+        """Tokenize a corpus once and keep it at path: the postings ordered by term, so that a query reads the row groups of its terms."""
+        docs = toks.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("len"))
+        postings = toks.select("doc_id", F.size("tokens").cast("bigint").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
+        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        docs.write.parquet(f"{path}/docs")
+        postings, docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+        terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+        corpus = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("len") / F.count("*"), F.lit(0.0)).alias("avgdl"))
+        store.save(spark, path, "bm25", {"terms": terms, "corpus": corpus}, {"postings": postings.schema.simpleString(), "docs": docs.schema.simpleString()})
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        parts, settings = store.load(spark, path, "bm25")
+        for name in ("postings", "docs"):
+            parts[name] = spark.read.parquet(f"{path}/{name}")
+            if parts[name].schema.simpleString() != settings[name]:
+                raise ValueError(f"{path}/{name} has other columns than its manifest says")
+        return cls(**parts)
+
+    def _query(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The queries' terms, and what the index knows of them."""
+        qt = query_terms(queries)
+        return qt, self.terms.join(qt.select("term").distinct(), "term", "left_semi")
+
+    def bm25(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """As bm25() of the corpus: no text is read."""
+        qt, known = self._query(queries)
+        return _scores(self.postings.join(known.select("term"), "term", "left_semi"), known, self.corpus, qt, k1, b)
+
+    def candidates(self, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id) of the documents that may be among the k best, for queries of up to PRUNED_TERMS terms; of others all that hold a term.
+
+        The k-th best score among the documents of a query's strongest term is a threshold.  Its weakest terms, of which the bounds together don't
+        reach it, can't make a document a result: only the documents of the others are candidates.
+        """
+        qt, known = self._query(queries)
+        bounds = _bounds(known, self.corpus, k1, b)
+        terms = qt.join(bounds, "term").withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+        short = terms.filter((F.col("n_terms") > 1) & (F.col("n_terms") <= PRUNED_TERMS))
+        strong = short.groupBy("query_id").agg(F.max_by("term", F.struct("bound", "term")).alias("term"))
+        seen = self.postings.select("term", "doc_id").join(strong, "term").select("query_id", "doc_id")
+        theta = threshold(self._complete(seen, short.select("query_id", "term"), known, k1, b), k, ["query_id"])
+        upto = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        weak = short.withColumn("reach", F.sum("bound").over(upto)).join(theta, "query_id").filter(F.col("reach") * F.lit(1 + 1e-9) + F.lit(1e-9) < F.col("threshold"))
+        needed = terms.select("query_id", "term").join(weak.select("query_id", "term"), ["query_id", "term"], "left_anti")
+        return self.postings.select("term", "doc_id").join(needed, "term").select("query_id", "doc_id").distinct()
+
+    def _complete(self, pairs: DataFrame, qt: DataFrame, known: DataFrame, k1: float, b: float) -> DataFrame:
+        """Scores of (query_id, doc_id) pairs alone: the postings of other documents are left before anything is weighed."""
+        held = self.postings.join(qt, "term").join(pairs, ["query_id", "doc_id"], "left_semi")
+        return held.join(known.select("term", "df"), "term").crossJoin(self.corpus).groupBy("query_id", "doc_id").agg(F.sum(_weight(k1, b)).alias("score"))
+
+    def bm25_pruned(self, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """bm25() of the candidates alone, exact for the k best.  Negative k1 or b have no bounds, so nothing is pruned then."""
+        if k1 < 0 or b < 0 or k <= 0:
+            return self.bm25(queries, k1, b)
+        qt, known = self._query(queries)
+        return self._complete(self.candidates(queries, k, k1, b), qt, known, k1, b)
+
+
+def save_tokens(toks: DataFrame, path: str, analyzer: str) -> None:
+    """Keep (doc_id, tokens), and the name of the analyzer they came from."""
+    store.save(toks.sparkSession, path, "tokens", {"tokens": toks.select("doc_id", "tokens")}, {"analyzer": analyzer})
+
+
+def load_tokens(spark: SparkSession, path: str, analyzer: str) -> DataFrame:
+    """Kept tokens; those of another analyzer are an error."""
+    parts, settings = store.load(spark, path, "tokens")
+    if settings.get("analyzer") != analyzer:
+        raise ValueError(f"{path} holds tokens of the analyzer {settings.get('analyzer')!r}, not {analyzer!r}")
+    return parts["tokens"]

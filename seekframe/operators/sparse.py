@@ -24,6 +24,12 @@ def scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return postings.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+def scores_all(docs: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """scores() with a 0 for every document that shares no term with a query; docs has the doc_id of every document."""
+    every = queries.select("query_id").distinct().crossJoin(docs.select("doc_id"))
+    return every.join(scores(postings, queries), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def splade_pool(logits: DataFrame) -> DataFrame:
     """(doc_id, term, weight) of (doc_id, pos, term, logit): log(1 + the greatest logit above 0) of each term."""
     top = logits.groupBy("doc_id", "term").agg(F.max("logit").alias("top")).filter("top > 0")

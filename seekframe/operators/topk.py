@@ -16,13 +16,15 @@ def ordering(score: str = "score", ids: str = "doc_id") -> list[Column]:
 def top_k(df: DataFrame, k: int, by: list[str] = (), score: str = "score", ids: str = "doc_id", positive: bool = False, nonpositive_k: str = "none") -> DataFrame:
     """The k best rows for each value of ``by``, with their rank from 1 on; NaN scores are dropped.
 
-    positive: only scores above 0.  nonpositive_k says what k < 0 or k = 0 give: "none" nothing, "all" everything ranked,
+    positive: only scores above 0.  nonpositive_k says what k < 0 or k = 0 give: "none" nothing for 0 and an error below, "all" everything ranked,
     "negative_all" everything for k < 0 and nothing for k = 0.
     """
+    if k < 0 and nonpositive_k == "none":
+        raise ValueError("k must not be negative")
     df = df.filter(~F.isnan(score))
     if positive:
         df = df.filter(F.col(score) > 0)
-    if k < 0 and nonpositive_k == "none" or k == 0 and nonpositive_k != "all":
+    if k == 0 and nonpositive_k != "all":
         return df.withColumn("rank", F.lit(0)).limit(0)
     if not by and k > 0:
         df = df.orderBy(*ordering(score, ids)).limit(k)  # per-partition heaps, so the window below sees k rows

@@ -11,6 +11,8 @@ from ..operators import chunk, encode, graph, subword
 from ..operators import dense as D
 from ..operators import evaluate as E
 from ..operators import fuse, lexical, sparse
+from ..operators.rows import spread
+from ..operators.shared import scratch
 from ..operators.topk import threshold, top_k
 
 K, DIM = 10, 64
@@ -178,29 +180,67 @@ def bm25_upper_bounds(spark, d):
     return lexical.upper_bounds(doc_tokens(spark, d), text_queries(spark, d)).withColumn("bound", r6(F.col("bound")))
 
 
+# Every five words of a passage are a query of its own.
+_SHORT = f"w AS (SELECT item_id, {_TOK} AS w FROM benchmark), sq AS (SELECT item_id * 10000 + i AS query_id, w[5 * i + 1 : 5 * i + 5] AS tokens FROM (SELECT item_id, w, unnest(range(0, ((len(w) + 4) // 5)::BIGINT)) AS i FROM w))"
+
+
+def short_queries(spark, d):
+    w = table(spark, d, "benchmark").select("item_id", T.tokenize_plain(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    w = w.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / F.lit(5)).cast("int") - 1)).alias("i"))
+    return w.select((F.col("item_id") * 10000 + F.col("i")).alias("query_id"), F.slice("w", F.col("i") * 5 + 1, F.lit(5)).alias("tokens"))
+
+
+def lexical_index(spark, d):
+    """An index built from documents, kept in the shared folder, and loaded from there."""
+    path = scratch(spark, "bm25")
+    lexical.Index.build(spark, doc_tokens(spark, d), path)
+    return lexical.Index.load(spark, path)
+
+
 @query(f"WITH {_bm25()} {_top('s')}")
+def bm25_index_topk(spark, d):
+    return hits(top_k(lexical_index(spark, d).bm25(text_queries(spark, d)), K, ["query_id"], positive=True))
+
+
+_SHORT_BM25 = _bm25().replace(_QT, f"{_SHORT}, q AS (SELECT DISTINCT query_id, unnest(tokens) AS term FROM sq)")
+
+
+@query(f"WITH {_SHORT_BM25} {_top('s')}")
 def bm25_topk_pruned(spark, d):
-    return hits(top_k(lexical.bm25_pruned(doc_tokens(spark, d), text_queries(spark, d), K), K, ["query_id"], positive=True))
+    return hits(top_k(lexical_index(spark, d).bm25_pruned(short_queries(spark, d), K), K, ["query_id"], positive=True))
+
+
+@query(f"WITH {_TOKS} SELECT term, count(*) AS df FROM p GROUP BY term")
+def tokens_kept(spark, d):
+    path = scratch(spark, "tokens")
+    lexical.save_tokens(doc_tokens(spark, d), path, "plain")
+    return lexical.postings(lexical.load_tokens(spark, path, "plain")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 # --- learned sparse ---------------------------------------------------------------------------------------
 
 
+def _term_id(term) -> F.Column:
+    """A number for a token: the first 48 bits of its MD5."""
+    return F.conv(F.substring(F.md5(term), 1, 12), 16, 10).cast("bigint")
+
+
 def _sparse_docs(spark, d):
-    v = vectors(spark, d)
-    return sparse.build(v.select("doc_id", F.transform("embedding", lambda x, i: i.cast("bigint")).alias("terms"), F.col("embedding").alias("weights")))
+    """Documents as sparse vectors: ln(1 + tf) of each token."""
+    p = lexical.postings(doc_tokens(spark, d)).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    return sparse.build(p.select("doc_id", F.transform("p", lambda x: _term_id(x["term"])).alias("terms"), F.transform("p", lambda x: F.log1p(x["tf"])).alias("weights")))
 
 
 def _sparse_queries(spark, d):
-    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.posexplode("embedding").alias("term", "weight"))
-    q = q.select("query_id", F.col("term").cast("bigint").alias("term"), "weight")
-    return q.union(q.filter("weight > 0"))  # positive terms twice: they're summed
+    """Benchmark passages, each token with weight 1: repeated ones are summed."""
+    return text_queries(spark, d).select("query_id", F.explode("tokens").alias("t")).select("query_id", _term_id(F.col("t")).alias("term"), F.lit(1.0).alias("weight"))
 
 
-_SPARSE = "u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS w, (generate_subscripts(embedding, 1) - 1)::BIGINT AS term FROM embeddings), p AS (SELECT vec_id AS doc_id, term, w FROM u WHERE w > 0), q AS (SELECT vec_id AS query_id, term, CASE WHEN w > 0 THEN 2 * w ELSE w END AS qw FROM u WHERE w <> 0), f AS (SELECT query_id, doc_id, sum(qw * w) AS score FROM p JOIN q USING (term) GROUP BY ALL)"
+_TERM_ID = "('0x' || substr(md5(term), 1, 12))::BIGINT"
+_SPARSE = f"t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), sp AS (SELECT doc_id, {_TERM_ID} AS term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL), q AS (SELECT query_id, {_TERM_ID} AS term, count(*)::DOUBLE AS qw FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), f AS (SELECT query_id, doc_id, sum(qw * w) AS score FROM sp JOIN q USING (term) GROUP BY ALL)"
 
 
-@query(f"WITH {_SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM p")
+@query(f"WITH {_SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM sp")
 def sparse_build(spark, d):
     return _sparse_docs(spark, d).withColumn("weight", r6(F.col("weight")))
 
@@ -210,9 +250,9 @@ def sparse_fold_query(spark, d):
     return sparse.fold(_sparse_queries(spark, d)).withColumn("weight", r6(F.col("weight")))
 
 
-@query(f"WITH {_SPARSE} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM f")
+@query(f"WITH {_SPARSE} SELECT q.query_id, t.doc_id, coalesce(round(score, 6), 0) + 0 AS score FROM (SELECT DISTINCT query_id FROM q) q CROSS JOIN t LEFT JOIN f ON f.query_id = q.query_id AND f.doc_id = t.doc_id")
 def sparse_scores(spark, d):
-    return sparse.scores(_sparse_docs(spark, d), _sparse_queries(spark, d)).withColumn("score", r6(F.col("score")))
+    return sparse.scores_all(table(spark, d, "documents"), _sparse_docs(spark, d), _sparse_queries(spark, d)).withColumn("score", r6(F.col("score")))
 
 
 @query(f"WITH {_SPARSE} {_top('(SELECT * FROM f WHERE score > 0)')}")
@@ -240,9 +280,9 @@ def flat_topk_filter(spark, d):
     return hits(D.flat_top_k(vectors(spark, d), vector_queries(spark, d), K, keep=F.col("label") < 5))
 
 
-@query(f"WITH {_ITEM_FLAT} {_top('f', None)}")
+@query(f"WITH {_FLAT} {_top('f', None)}")
 def flat_all_sorted(spark, d):
-    return hits(D.flat_top_k(vectors(spark, d), item_vectors(spark, d), 0))
+    return hits(D.flat_top_k(vectors(spark, d), vector_queries(spark, d), 0))
 
 
 @query(f"WITH {_I8} SELECT vec_id AS doc_id, array_to_string(codes, ',') AS codes, round(scale, 9) AS scale FROM i8")
@@ -251,10 +291,10 @@ def i8_quantize(spark, d):
     return i.select("doc_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round("scale", 9).alias("scale"))
 
 
-@query(f"WITH {_I8} SELECT vec_id AS doc_id, round(list_sum(list_transform(codes, lambda c: c * scale)), 6) + 0 AS total FROM i8")
+@query(f"WITH {_I8} SELECT vec_id AS doc_id, (unnest(range(1, len(codes) + 1)) - 1)::INTEGER AS pos, round(unnest(codes) * scale, 6) + 0 AS y FROM i8")
 def i8_dequantize(spark, d):
-    i = D.build_i8(vectors(spark, d), DIM).withColumn("v", V.dequantize(F.col("codes"), F.col("scale")))
-    return i.select("doc_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    i = D.build_i8(vectors(spark, d), DIM)
+    return i.select("doc_id", F.posexplode(V.dequantize(F.col("codes"), F.col("scale"))).alias("pos", "y")).withColumn("y", r6(F.col("y")))
 
 
 @query(f"WITH {_I8_SCORES} {_top('f')}")
@@ -278,16 +318,17 @@ def corpus_center(spark, d):
     return D.center(vectors(spark, d), DIM).select(F.posexplode("center").alias("pos", "mean")).withColumn("mean", F.col("mean") + F.lit(0.0))
 
 
-@query(f"WITH {_BITS} SELECT vec_id AS doc_id, len(list_filter(bits, lambda x: x))::INTEGER AS ones FROM b")
+@query(f"WITH {_BITS} SELECT vec_id AS doc_id, array_to_string(list_transform(bits, lambda x: x::INTEGER), '') AS bits FROM b")
 def sign_bits(spark, d):
     i = D.build_binary(vectors(spark, d), DIM)
-    return i.select("doc_id", F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("ones"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda p: F.call_function("shiftright", F.element_at("bits", F.floor(p / 64).cast("int") + 1), p % 64).bitwiseAND(F.lit(1).cast("bigint")).cast("string"))
+    return i.select("doc_id", F.array_join(each, "").alias("bits"))
 
 
 @query(f"WITH {_NEAR} SELECT query_id, doc_id, distance::INTEGER AS distance FROM n")
 def hamming_topk(spark, d):
     v = vectors(spark, d)
-    return D.binary_candidates(D.build_binary(v, DIM), v, vector_queries(spark, d), K, DIM).select("query_id", "doc_id", "distance")
+    return D.binary_candidates(D.build_binary(v, DIM), v, vector_queries(spark, d), K, DIM)
 
 
 @query(f"WITH {_NEAR}, {_FLAT} {_top('(SELECT f.* FROM f JOIN n USING (query_id, doc_id))')}")
@@ -373,38 +414,36 @@ def _matrices(spark, d):
     return e.select("doc_id", F.transform("m", lambda s: s["embedding"]).alias("matrix"))
 
 
-def _max_sim(spark, d):
-    m = _matrices(spark, d)
-    q = m.select(F.col("doc_id").alias("query_id"), F.col("matrix").alias("qm"))
-    return m.crossJoin(q).select("query_id", "doc_id", V.max_sim(F.col("qm"), F.col("matrix")).alias("score"))
-
-
 _MAXSIM = f"{_FLAT}, x AS (SELECT query_id // 8 AS query_id, query_id AS token, doc_id // 8 AS doc_id, max(score) AS best FROM f GROUP BY ALL), s AS (SELECT query_id, doc_id, sum(best) AS score FROM x GROUP BY ALL)"
 
 
 @query(f"WITH {_MAXSIM} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM s")
 def maxsim_scores(spark, d):
-    return _max_sim(spark, d).withColumn("score", r6(F.col("score")))
+    m = _matrices(spark, d)
+    return D.max_sim(m, m.withColumnRenamed("doc_id", "query_id")).withColumn("score", r6(F.col("score")))
 
 
 @query(f"WITH {_MAXSIM} {_top('s')}")
 def maxsim_topk(spark, d):
-    return hits(top_k(_max_sim(spark, d), K, ["query_id"]))
+    m = _matrices(spark, d)
+    return hits(D.max_sim_top_k(m, m.withColumnRenamed("doc_id", "query_id"), K))
 
 
 # --- vectors and matrices in columns ----------------------------------------------------------------------
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) + 0 AS total FROM embeddings")
+def _whole(df: DataFrame, v: str) -> DataFrame:
+    return df.select("vec_id", F.posexplode(v).alias("pos", "y")).withColumn("y", r6(F.col("y")))
+
+
+@query("SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS pos, round(unnest(embedding)::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0 AS y FROM embeddings")
 def l2_normalize(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("v"))
-    return e.select("vec_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return _whole(table(spark, d, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("v")), "v")
 
 
-@query("WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) + 0 AS total FROM t")
+@query("WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, (unnest(range(1, len(v) + 1)) - 1)::INTEGER AS pos, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) + 0 AS y FROM t")
 def mrl_truncate(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", V.truncate(F.col("embedding"), 16).alias("v"))
-    return e.select("vec_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return _whole(table(spark, d, "embeddings").select("vec_id", V.truncate(F.col("embedding"), 16).alias("v")), "v")
 
 
 @query("WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), g AS (SELECT vec_id, (i // 32)::INTEGER AS grp, max(abs(x)) AS m, list(x ORDER BY i) AS v FROM u GROUP BY ALL) SELECT vec_id, grp, array_to_string(list_transform(v, lambda x: round(x / (m / 7::DOUBLE))::INTEGER + 8), ',') AS codes, round(m / 7::DOUBLE, 9) AS scale FROM g")
@@ -436,10 +475,10 @@ def pool_mean(spark, d):
     return e.groupBy("label", "i").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
 
 
-@query("SELECT label, arg_min(vec_id, vec_id) AS vec_id, round(arg_min(embedding[1], vec_id)::DOUBLE, 6) AS first FROM embeddings GROUP BY label")
+@query("WITH f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) SELECT label, vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS pos, round(unnest(embedding)::DOUBLE, 6) + 0 AS y FROM f JOIN embeddings USING (label, vec_id)")
 def pool_cls(spark, d):
     e = table(spark, d, "embeddings").groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("m"))
-    return e.select("label", F.col("m.vec_id").alias("vec_id"), r6(F.col("m.embedding")[0].cast("double")).alias("first"))
+    return e.select("label", F.col("m.vec_id").alias("vec_id"), F.posexplode("m.embedding").alias("pos", "y")).withColumn("y", r6(F.col("y").cast("double")))
 
 
 @query("WITH u AS (SELECT vec_id // 8 AS m, vec_id % 8 AS r, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT a.m AS m, a.r AS i, b.r AS j, round(sum(a.x * b.x), 6) + 0 AS c FROM u a JOIN u b ON a.m = b.m AND a.k = b.k GROUP BY ALL")
@@ -563,7 +602,7 @@ def chunk_markdown(spark, d):
 @query("SELECT 'regex' AS chunker, CASE page_id % 2 WHEN 0 THEN 'none' ELSE 'unsupported' END AS fallback, count(*) AS n FROM pages GROUP BY ALL")
 def chunk_fallback_stats(spark, d):
     ext = F.when(F.col("page_id") % 2 == 0, F.lit(".go")).otherwise(F.lit(".unknown"))
-    files = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), ext).alias("file"))
+    files = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), ext).alias("file"), F.col("html").alias("source"))
     return chunk.fallback_stats(files, "regex")
 
 
@@ -583,7 +622,7 @@ def unigram(spark, d):
     return subword.unigram(table(spark, d, "documents"), subword.sample_scores())
 
 
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents), u AS (SELECT doc_id, unnest(list_transform(w, lambda x: len(x))) AS id FROM t), v AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT doc_id, pos, sum(x) / count(*) AS y FROM u JOIN v USING (id) GROUP BY ALL) SELECT doc_id, pos::INTEGER AS pos, round(y / sqrt(sum(y * y) OVER (PARTITION BY doc_id)), 6) + 0 AS y FROM m")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents), u AS (SELECT doc_id, unnest(list_transform(w, lambda x: len(x))) AS id FROM t), v AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m0 AS (SELECT doc_id, pos, sum(x) / count(*) AS y FROM u JOIN v USING (id) GROUP BY ALL), m AS (SELECT doc_id, pos, coalesce(y, 0) AS y FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN (SELECT DISTINCT pos FROM v) LEFT JOIN m0 USING (doc_id, pos)), z AS (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY doc_id)) AS norm FROM m) SELECT doc_id, pos::INTEGER AS pos, CASE WHEN norm < 1e-12 THEN 0 ELSE round(y / norm, 6) + 0 END AS y FROM z")
 def static_embed(spark, d):
     ids = table(spark, d, "documents").select("doc_id", F.transform(T.tokenize_plain(F.col("text")), lambda w: F.length(w)).alias("ids"))
     vocab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(1.0).alias("weight"))

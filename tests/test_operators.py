@@ -29,7 +29,9 @@ def test_plain_tokens(spark):
 def test_top_k_rules(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9), (4, float("nan")), (5, -1.0)], "doc_id bigint, score double")
     assert [r["doc_id"] for r in top_k(df, 2).orderBy("rank").collect()] == [2, 3]
-    assert top_k(df, 0).count() == 0 and top_k(df, -1).count() == 0
+    assert top_k(df, 0).count() == 0
+    with pytest.raises(ValueError):
+        top_k(df, -1)
     assert top_k(df, 0, nonpositive_k="all").count() == 4
     assert top_k(df, -1, positive=True, nonpositive_k="negative_all").count() == 3
     assert threshold(df, 9).first()["threshold"] == float("-inf") and threshold(df, 0).first()["threshold"] == float("inf")
