@@ -209,13 +209,13 @@ def _name(n: int, with_lines: bool):
     return run
 
 
-_GRAMS = "bucket int, slice bigint, grams binary, docs binary, rows binary"
-_SHARED = "slice bigint, grams binary, docs binary, dfs binary, rows binary"
+_GRAMS = "bucket int, slice bigint, grams binary, docs binary, places binary, rows binary, lines binary, counts binary"
+_SHARED = "slice bigint, grams binary, docs binary, places binary, dfs binary, rows binary, lines binary, counts binary"
 _ROW = ("id", "k1", "size", "weight")
 
 
 def _blobs(buckets: int):
-    """The grams of a slice of sets by bucket; ``rows`` has the sets' own numbers."""
+    """The grams of a slice of sets by bucket, and the sets' own numbers and lines once."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -225,13 +225,18 @@ def _blobs(buckets: int):
                 number += 1
                 own = [np.frombuffer(x, "<u8") for x in part["grams"].to_pylist()]
                 docs = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype("<u2")
-                grams = np.concatenate(own)
+                grams, places = np.concatenate(own), np.frombuffer(b"".join(part["places"].to_pylist()), "<i4")
                 order = np.argsort(grams, kind="stable")
-                grams, docs = grams[order], docs[order]
+                grams, docs, places = grams[order], docs[order], places[order] if len(places) else places
                 place = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cut = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(k, number, _squeeze(np.diff(grams[cut[k] : cut[k + 1]], prepend=np.uint64(0))), _squeeze(docs[cut[k] : cut[k + 1]]), None) for k in np.flatnonzero(np.diff(cut)).tolist()]
-                rows.append((number % buckets, number, b"", b"", _squeeze(np.concatenate([part[c].to_numpy().astype("<i8") for c in _ROW]))))
+                rows = []
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    here = slice(cut[k], cut[k + 1])
+                    rows.append((k, number, _squeeze(np.diff(grams[here], prepend=np.uint64(0))), _squeeze(docs[here]), _squeeze(places[here]), None, None, None))
+                lines = part["lines"].to_pylist()
+                head = [part[c].to_numpy().astype("<i8") for c in _ROW] + [np.array([len(x) // 8 for x in lines], "<i8")]
+                rows.append((number % buckets, number, b"", b"", b"", _squeeze(np.concatenate(head)), b"".join(lines), b"".join(part["counts"].to_pylist())))
                 yield _batch(_GRAMS, rows)
 
     return run
@@ -251,40 +256,46 @@ def _count_grams(pdf: pd.DataFrame) -> pd.DataFrame:
     df[order] = np.repeat(length, length)
     del order, g
     out = []
-    for i, (number, docs, rows) in enumerate(zip(pdf["slice"], pdf["docs"], pdf["rows"])):
+    for i, (number, docs, places, rows, lines, counts) in enumerate(zip(*(pdf[c] for c in ("slice", "docs", "places", "rows", "lines", "counts")))):
         here = df[cut[i] : cut[i + 1]]
         several = here > 1
         if rows is not None or several.any():
-            out.append((number, _squeeze(np.diff(grams[cut[i] : cut[i + 1]][several], prepend=np.uint64(0))), _squeeze(_spread(docs, "<u2")[several]), _squeeze(here[several]), rows))
-    return pd.DataFrame(out, columns=["slice", "grams", "docs", "dfs", "rows"])
+            places = _spread(places, "<i4")
+            out.append((number, _squeeze(np.diff(grams[cut[i] : cut[i + 1]][several], prepend=np.uint64(0))), _squeeze(_spread(docs, "<u2")[several]), _squeeze(places[several]) if len(places) else b"", _squeeze(here[several]), rows, lines, counts))
+    return pd.DataFrame(out, columns=["slice", "grams", "docs", "places", "dfs", "rows", "lines", "counts"])
 
 
-_RANKED = "id bigint, k1 bigint, size bigint, weight bigint, ranked binary"
+_RANKED = "id bigint, k1 bigint, size bigint, weight bigint, ranked binary, places binary, lines binary, counts binary"
 
 
 def _rank_slice(threshold: float):
     """The sets of a slice that can be linked, their shared grams from the rarest to the commonest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = _spread(pdf["rows"][pdf["rows"].notna()].iloc[0], "<i8").reshape(len(_ROW), -1).T
+        head = pdf[pdf["rows"].notna()].iloc[0]
+        heads = _spread(head["rows"], "<i8").reshape(len(_ROW) + 1, -1).T
+        line = np.concatenate(([0], np.cumsum(heads[:, -1])))
         grams = np.concatenate([np.cumsum(_spread(g, "<u8"), dtype=np.uint64) for g in pdf["grams"]])
-        docs, df = (np.concatenate([_spread(x, k) for x in pdf[c]]) for c, k in (("docs", "<u2"), ("dfs", "<u4")))
+        docs, places, df = (np.concatenate([_spread(x, k) for x in pdf[c]]) for c, k in (("docs", "<u2"), ("places", "<i4"), ("dfs", "<u4")))
         order = np.lexsort((grams, df, docs))
-        docs, grams = docs[order], grams[order]
+        docs, grams, places = docs[order], grams[order], places[order] if len(places) else places
         cut = np.searchsorted(docs, np.arange(len(heads) + 1))
-        able = np.flatnonzero(np.diff(cut) >= _needs(heads[:, 2], threshold))
-        return pd.DataFrame([(*heads[i].tolist(), grams[cut[i] : cut[i + 1]].tobytes()) for i in able], columns=[*_ROW, "ranked"])
+        out = []
+        for i in np.flatnonzero(np.diff(cut) >= _needs(heads[:, 2], threshold)):
+            own, lines = slice(cut[i], cut[i + 1]), (line[i], line[i + 1])
+            out.append((*heads[i, :-1].tolist(), grams[own].tobytes(), places[own].tobytes(), head["lines"][8 * lines[0] : 8 * lines[1]], head["counts"][4 * lines[0] : 4 * lines[1]]))
+        return pd.DataFrame(out, columns=[*_ROW, "ranked", "places", "lines", "counts"])
 
     return run
 
 
 # --- step 3 -----------------------------------------------------------------------------------------------
 
-_PREFIX = "gram bigint, id bigint, home bigint, size int"
+_PREFIX = "gram int, id bigint, home bigint, size int"
 
 
 def _prefixes(threshold: float):
-    """The size - T + 1 rarest grams of each set, T by its whole size."""
+    """Half the names of the size - T + 1 rarest grams of each set, T by its whole size: another gram with the same half only adds a route."""
 
     def run(batches):
         for batch in batches:
@@ -294,17 +305,12 @@ def _prefixes(threshold: float):
                 own = [np.frombuffer(x, "<i8") for x in part["ranked"].to_pylist()]
                 own = [x[: len(x) - t + 1] for x, t in zip(own, _needs(size, threshold))]
                 n = [len(x) for x in own]
-                columns = [np.concatenate(own), np.repeat(part["id"].to_numpy(), n), np.repeat(part["home"].to_numpy(), n), np.repeat(size, n).astype(np.int32)]
+                columns = [np.concatenate(own).astype(np.int32), np.repeat(part["id"].to_numpy(), n), np.repeat(part["home"].to_numpy(), n), np.repeat(size, n).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "id", "home", "size"])
 
     return run
 
 
-def _ranked_places(grams: pd.Series, places: pd.Series, ranked: pd.Series) -> pd.Series:
-    """The lines of the ranked grams, given those of all."""
-    return pd.Series([np.frombuffer(p, "<i4")[np.searchsorted(np.frombuffer(g, "<u8"), np.frombuffer(r, "<u8"))].tobytes() for g, p, r in zip(grams, places, ranked)], dtype=object)
-
-
 # --- step 4 -----------------------------------------------------------------------------------------------
 
 
@@ -537,15 +543,16 @@ def _total(table: Table, column) -> int:
 class _Join:
     """Steps 1 to 3: ``members`` (id, lead) of documents that another stands for, ``placed`` sets with their homes, and ``routes`` (id, home)."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, with_lines: bool = False):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, weighted: bool = True, with_lines: bool = False):
         self.threshold, self.tables = threshold, []
         narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
         if not stable(narrow):
             narrow = self._table(narrow, "docs").df
         # of documents with identical texts, the least id stands for all
         named = narrow.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("bytes"))
-        texts = Table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.count_distinct("doc_id").alias("weight"), F.max("bytes").alias("bytes")), "join-texts")
-        buckets = max(1, -(-_total(texts, "bytes") // BUCKET_BYTES))
+        texts = Table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.count_distinct("doc_id").alias("weight"), F.max("bytes").alias("bytes"), F.count("*").alias("n")), "join-texts")
+        size, rows, ids = (int(x or 0) for x in texts.df.agg(F.sum("bytes"), F.sum("n"), F.sum("weight")).first())
+        buckets = max(1, -(-size // BUCKET_BYTES))
         copied = texts.df.filter("weight > 1").select("h1", "h2", "lead")
         copies = Table(named.join(copied, ["h1", "h2"]).filter("doc_id <> lead").select("h1", "h2", F.col("doc_id").alias("copy"), "lead").distinct(), "join-copies")
         keys = [F.xxhash64("text") == F.col("h1"), F.xxhash64(F.lit("second"), "text") == F.col("h2"), F.col("doc_id") == F.col("copy")]
@@ -559,28 +566,28 @@ class _Join:
         able.drop()
 
         # of documents with identical sets, the least id stands for all
-        heads = Table(sets.df.select("id", "k1", "k2").distinct().join(texts.df.groupBy(F.col("lead").alias("id")).agg(F.sum("weight").alias("weight")), "id"), "join-heads")
-        texts.drop()
-        classes = Table(heads.df.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.sum("weight").alias("weight"), F.count("*").alias("n")), "join-classes")
-        alike = Table(heads.df.join(classes.df.filter("n > 1"), ["k1", "k2"]).filter("id <> lead").select("id", "lead"), "join-alike")
+        heads = Table(sets.df.select("id", "k1", "k2").distinct(), "join-heads")
+        same = Table(heads.df.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "join-same")
+        alike = Table(heads.df.join(same.side(), ["k1", "k2"]).filter("id <> lead").select("id", "k1", "lead"), "join-alike")
         heads.drop()
+        same.drop()
         renamed = copies.df.select("copy", "lead").join(alike.df.select(F.col("id").alias("lead"), F.col("lead").alias("new")), "lead", "left").select(F.col("copy").alias("id"), F.coalesce("new", "lead").alias("lead"))
-        self.members = self._table(renamed.unionByName(alike.df).filter("id <> lead").distinct(), "members")
-        alike.drop()
+        self.members = self._table(renamed.unionByName(alike.df.select("id", "lead")).filter("id <> lead").distinct(), "members")
+        copies.drop()
 
-        one = classes.df.select("k1", "k2", F.col("lead").alias("id"), "weight")
-        whole = sets.df.join(one, ["k1", "k2", "id"]).dropDuplicates(["id", "k1"]) if with_lines else sets.df.drop("places", "lines", "counts").join(one, ["k1", "k2", "id"]).dropDuplicates(["id", "k1"])
-        blobs = whole.select(*_ROW, "grams").mapInArrow(_blobs(buckets), _GRAMS).groupBy("bucket").applyInPandas(_count_grams, _SHARED)
-        ranked = blobs.groupBy("slice").applyInPandas(_rank_slice(threshold), _RANKED)
-        if with_lines:
-            lined = whole.select("id", "k1", F.col("grams").alias("every"), F.col("places").alias("all_places"), "lines", "counts")
-            ranked = ranked.join(lined, ["id", "k1"]).select(*_ROW, "ranked", F.pandas_udf(_ranked_places, "binary")("every", "all_places", "ranked").alias("places"), "lines", "counts")
+        whole = sets.df.join(alike.side().select("id", "k1"), ["id", "k1"], "left_anti")
+        if rows > ids:  # some rows are repeated under one id
+            whole = whole.dropDuplicates(["id", "k1"])
+        weights = self._table(self.members.df.groupBy(F.col("lead").alias("id")).agg((F.count_distinct("id") + 1).alias("weight")), "weights")
+        if weighted:
+            whole = whole.join(weights.side(), "id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
         else:
-            ranked = ranked.select(*_ROW, "ranked", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lines", "counts")])
+            whole = whole.withColumn("weight", F.lit(1))
+        blobs = whole.select(*_ROW, "grams", "places", "lines", "counts").mapInArrow(_blobs(buckets), _GRAMS).groupBy("bucket").applyInPandas(_count_grams, _SHARED)
+        ranked = blobs.groupBy("slice").applyInPandas(_rank_slice(threshold), _RANKED)
         ranked = Table(ranked.withColumn("bin", F.pmod(F.xxhash64(F.expr("substring(ranked, -8, 8)")), F.lit(bins))), "join-ranked")
         sets.drop()
-        classes.drop()
-        copies.drop()
+        alike.drop()
 
         crowded = ranked.df.groupBy("bin").agg(F.ceil(F.sum(F.length("ranked")) / F.lit(8 * SHARD_POSTINGS)).alias("ways")).filter("ways > 1")
         crowded = self._table(crowded, "crowded")
@@ -599,13 +606,18 @@ class _Join:
         return self.tables[-1]
 
     def search(self, run, schema: str, residents: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-        """What ``run`` gives for each home's residents and the documents that are sent to it; by default all sets, and all by their routes."""
+        """What ``run`` gives for each home's residents and the documents that are sent to it: by default all sets, by their routes.
+
+        Given some residents alone, only their homes are asked, by what lives there too.
+        """
         columns = ["home", "kind", "id", "size", "weight", "ranked", "places", "lines", "counts"]
-        sent = self.placed if asked is None else asked
-        sent = sent.drop("home").join(self.routes.side(), "id").withColumn("kind", F.lit(1)).select(*columns)
-        if asked is not None:
-            sent = sent.unionByName(asked.withColumn("kind", F.lit(1)).select(*columns))
-        rows = (self.placed if residents is None else residents).withColumn("kind", F.lit(0)).select(*columns).unionByName(sent)
+        if residents is None:
+            residents, sent = self.placed, self.placed.drop("home").join(self.routes.side(), "id")
+        else:
+            homes = self._table(residents.select("home").distinct(), "homes")
+            routes = self._table(self.routes.df.join(homes.side(), "home", "left_semi"), "routes")
+            sent = asked.drop("home").join(routes.side(), "id").unionByName(asked.join(homes.side(), "home", "left_semi"), allowMissingColumns=True)
+        rows = residents.withColumn("kind", F.lit(0)).select(*columns).unionByName(sent.withColumn("kind", F.lit(1)).select(*columns))
         return rows.repartition(self.tasks, "home").sortWithinPartitions("home", "kind", "id").mapInArrow(run, schema)
 
     def drop(self) -> None:
@@ -667,7 +679,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     home sends edges from those of its residents only that are near copies of no smaller such resident; one of the others that stays after all,
     as its near copies at home were dropped for some document elsewhere, is searched for once more.
     """
-    join = _Join(docs, id_col, text_col, n, threshold, with_lines=True)
+    join = _Join(docs, id_col, text_col, n, threshold, weighted=False, with_lines=True)
     first = Table(join.search(_search_near(threshold, False), _EDGE), "near-edges")
     parts, done = [first], []
     while True:

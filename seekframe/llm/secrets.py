@@ -15,6 +15,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import chain
 from math import log2
 
 import pandas as pd
@@ -43,8 +44,11 @@ RULES = (
     ("url_password", r"(?<![A-Za-z])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:([^\s/:@]+)@", 1, 0.0),
     ("assigned_secret", r"(?i)(?<![a-z])(?:api[_-]?key|apikey|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|auth[_-]?token|access[_-]?token|token|passwd|password|pwd)[\"']?\s{0,4}(?:=>|:=|[=:])\s{0,4}[\"']?([A-Za-z0-9_\-+/=.!@#$%^&*~]{8,})", 1, 2.5),
 )
-#: Encoded runs shorter than this hold no secret of 8 characters with its name.
+#: Encoded runs shorter than this hold less than 12 bytes: no secret of any rule but the password of a URL of up to 11 characters in all.
 LEAST_RUN = 16
+#: Bytes that are unpacked at a time, and of a chunk of unpacked text.
+PIECE, CHUNK = 1 << 20, 4096
+_ZLIB = type(zlib.decompressobj())
 
 #: Lower-case strings of which a rule's matches hold at least one.
 _HINTS = {
@@ -64,7 +68,7 @@ _STRETCH = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-
 #: Of the separators in a stretch of text the first and last so many are tried one by one, and all of them together.
 GLUED = 8
 _TO_BASE64 = str.maketrans("-_", "+/", "\r\n=")
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){%d,}+(?![0-9A-Za-z])" % LEAST_RUN)
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){%d,}+(?![0-9A-Za-z])" % (LEAST_RUN * 3 // 4))
 
 #: What a text must match for any rule or decoder to find something in it; everything else is passed over by the JVM.
 CANDIDATE = r"(?i)akia|asia|aroa|aida|gh[pousr]_|github_pat|xox[a-z]-|[rs]k_(?:live|test)|aiza|eyJ|PRIVATE KEY|://[^\s/:@]*:|api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|[a-z0-9+/_-]{16}"
@@ -100,22 +104,87 @@ def _stream(data: bytes):
     return None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """All streams, members or frames that data begins with, unpacked one after the other."""
-    out = []
+def _unpacked(data: bytes):
+    """All streams, members or frames that data begins with, unpacked one after the other, in pieces of about PIECE bytes."""
     while data:
         if data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5:  # a frame of zstd that holds no text
             data = data[8 + int.from_bytes(data[4:8], "little") :]
             continue
         stream = _stream(data)
         if stream is None:
-            break
+            return
         try:
-            out.append(stream.decompress(data))
+            if isinstance(stream, _ZLIB):
+                while True:
+                    yield stream.decompress(data, PIECE)
+                    data = stream.unconsumed_tail
+                    if stream.eof or not data:
+                        break
+                data = stream.unused_data
+            elif isinstance(stream, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                while not stream.eof and (data or not stream.needs_input):
+                    yield stream.decompress(data, PIECE)
+                    data = b""
+                data = stream.unused_data
+            else:  # zstandard gives all that its input holds, so it gets little at a time
+                at = 0
+                while not stream.eof and at < len(data):
+                    yield stream.decompress(data[at : at + 64])
+                    at += 64
+                data = stream.unused_data + data[at:]
         except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        data = data.lstrip(b"\0")  # members may be padded
+
+
+_SPACE = re.compile(rb"\s")
+
+
+def _folded(pieces) -> bytes:
+    """Unpacked text without the repetitions of what it holds already.
+
+    It's cut at white space into chunks of some CHUNK bytes; of two chunks that follow each other as two did before, nothing new can come, and
+    they're left out.  So whatever lies within two chunks is kept whole, and text that unpacks to a thousand times its size takes little room and time.
+    """
+    out, seen, last, gap, rest = [], set(), b"", False, b""
+
+    def take(chunk: bytes):
+        nonlocal last, gap
+        key = hash((last, chunk))
+        if key in seen:
+            gap = True
+        else:
+            seen.add(key)
+            out.extend((b"\n", last, chunk) if gap else (chunk,))
+            gap = False
+        last = chunk
+
+    for piece in pieces:
+        rest, at = rest + piece if rest else piece, 0
+        while len(rest) - at > 2 * CHUNK:
+            found = _SPACE.search(rest, at + CHUNK, at + 2 * CHUNK)
+            end = found.end() if found else at + 2 * CHUNK
+            take(rest[at:end])
+            at = end
+        rest = rest[at:]
+    if rest:
+        take(rest)
+    return b"".join(out)
+
+
+def _inflate(data: bytes) -> bytes | None:
+    """What data unpacks to; whole if it's packed again, else folded."""
+    pieces = _unpacked(data)
+    head = b""
+    for piece in pieces:
+        head += piece
+        if len(head) >= 8:
             break
-        data = stream.unused_data.lstrip(b"\0")  # members may be padded
-    return b"".join(out) if out else None
+    if not head:
+        return None
+    if _stream(head) is not None:
+        return head + b"".join(pieces)
+    return _folded(chain((head,), pieces))
 
 
 def _opened(data: bytes, how: str):

@@ -142,6 +142,51 @@ def test_secrets_of_glued_runs():
                 assert "[SECRET]" in masked and not secrets.scan_text(masked)
 
 
+def test_bombs_are_scanned_in_little_time():
+    import bz2
+    import lzma
+    import time
+    import zlib
+
+    import zstandard
+
+    body = b"hello world, this is text\n" * 2_000_000
+    for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress, lambda x: gzip.compress(gzip.compress(x))):
+        text = "x " + b64(f(body + b" " + TOKEN.encode() + b" " + body)) + " y"
+        began = time.process_time()
+        assert [x[1] for x in secrets.scan_text(text)] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] and secrets.mask_text(text) == "x [SECRET] y"
+        assert time.process_time() - began < 20
+    r = random.Random(4)
+    other = bytes(r.choice(b"abc def\n") for _ in range(300_000))
+    assert secrets._folded([other[i : i + 1000] for i in range(0, len(other), 1000)]) == other
+
+
+@pytest.mark.parametrize("length", [8, 40, 129, 513, 10_000])
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_secrets_leave_nothing(length, seed):
+    """Keys of all lengths behind up to three layers, in prose: each is reported, and no eight characters of one are left, encoded or not."""
+    import zlib
+
+    r = random.Random(length * 10 + seed)
+    layers = [str, b64, lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: t.encode().hex(), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode()))]
+    keys, parts = [], []
+    for _ in range(6):
+        key = "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJK0123456789") for _ in range(length))
+        if len(set(key)) < 7:
+            continue
+        text = r.choice(["api_key = '%s'", 'password: "%s"', "token=%s", "secret_key => %s"]) % key
+        for layer in r.choices(layers, k=r.randrange(4)):
+            text = layer(text)
+        keys.append((key, text))
+        parts += [words(r, 12), text]
+    whole = "\n".join(parts) + "\n" + words(r, 5)
+    assert {k for k, _ in keys} <= {f[1] for f in secrets.scan_text(whole)}
+    masked = secrets.mask_text(whole)
+    assert not any(k[i : i + 8] in masked for k, _ in keys for i in range(len(k) - 7)) and not any(t in masked for _, t in keys)
+    assert not secrets.scan_text(masked)
+    assert all(p in masked for p in parts[::2])
+
+
 def test_secret_columns(spark, nothing):
     d = spark.createDataFrame([(1, TOKEN, "x", 50), (2, None, "y", 0), (3, "", "z", 0), (None, TOKEN, "x", 1), (4, "plain", "p", 5)], "doc_id bigint, text string, new string, n_chars int")
     assert sorted(str(r["doc_id"]) for r in secrets.scan_secrets(d).collect()) == ["1", "None"]

@@ -108,7 +108,7 @@ def test_near_stage_keeps_documents_that_share_only_lines(spark):
     rows = [(1, other(5) + "\n" + line + "\n" + other(6)), (2, line + "\n" + other(11)), (3, line + "\n" + other(5))]
     rows += [(11, " ".join(base[:48])), (12, " ".join(base[6:54])), (13, " ".join(base[12:60] + other(14).split())), (14, " ".join(base[:24] + ["changed"] + base[25:36] + ["changed"] + base[37:48]))]
     _, links = brute(rows)
-    assert min(links[1][3], links[2][3]) >= njoin.THRESHOLD and min(links[11][12], links[12][13]) >= njoin.STRONG and links[11].get(13, 0) < 0.4
+    assert min(links[1][3], links[2][3]) >= njoin.THRESHOLD and min(links[11][12], links[12][13]) >= njoin.STRONG and links[11].get(13, 0) < njoin.STRONG
     kept = {x["doc_id"] for x in njoin.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {1, 2, 3, 11} <= kept and not {12, 14} & kept
 
