@@ -6,11 +6,11 @@ a block, "sql" scores pairs of rows in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from . import block
+from . import block, store
 from .topk import top_k
 
 OVERQUERY = 16
@@ -53,6 +53,19 @@ def build_i8(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("doc_id", V.quantize_i8(fixed).alias("q")).select("doc_id", "q.codes", "q.scale")
 
 
+def save_i8(index: DataFrame, path: str, dim: int) -> None:
+    """Keep an 8-bit index; its Parquet row groups are the pages that a scan reads."""
+    store.save(index.sparkSession, path, "flat-i8", {"rows": index.select("doc_id", "codes", "scale")}, {"dim": dim})
+
+
+def load_i8(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(index, dim); rows of another length than dim are an error where they're met."""
+    parts, settings = store.load(spark, path, "flat-i8")
+    dim = int(settings["dim"])
+    held = parts["rows"].withColumn("codes", F.when(F.size("codes") == dim, F.col("codes")).otherwise(F.raise_error(F.lit(f"{path} holds a row that isn't {dim} long"))))
+    return held, dim
+
+
 def i8(index: DataFrame, queries: DataFrame, dim: int, scorer: str = "block", k: int | None = None) -> DataFrame:
     """Scores of quantized queries; a query of another dimension has none.  With k, at least the k best of each query."""
     q = queries.filter(F.size("query") == dim).select("query_id", V.quantize_i8(F.col("query"), 0.0).alias("q"))

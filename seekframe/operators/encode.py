@@ -67,9 +67,9 @@ def layer_norm(x: np.ndarray, gain, shift, eps: float = 1e-12) -> np.ndarray:
 
 
 def rope(x: np.ndarray, base: float = 10000.0) -> np.ndarray:
-    """Rotary positions on (positions, head dim), halves rotated."""
+    """Rotary positions on (..., positions, head dim), halves rotated."""
     half = x.shape[-1] // 2
-    angle = np.arange(x.shape[0])[:, None] * base ** (-np.arange(half) / half)
+    angle = np.arange(x.shape[-2])[:, None] * base ** (-np.arange(half) / half)
     a, b = x[..., :half], x[..., half:]
     return np.concatenate((a * np.cos(angle) - b * np.sin(angle), b * np.cos(angle) + a * np.sin(angle)), -1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,46 @@ def human(n):
     """1500000 as 1.5M, 10000 as 10k."""
     short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\.0$", ""), F.lit(unit))
     return F.when(n >= 1_000_000, short(n / 1e6, "M")).when(n >= 1000, short(n / 1e3, "k")).otherwise(F.regexp_replace(F.format_string("%.1f", n.cast("double")), r"\.0$", ""))
+
+
+def pivoted(speed: DataFrame, by: list[str], backend: str, names: list[str]) -> DataFrame:
+    """A column of speed-ups for each of the named backends."""
+    return speed.groupBy(*by).pivot(backend, names).agg(F.max("speedup"))
+
+
+def table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, line): df as a Markdown table, its head at places 0 and 1, its rows by their columns from 2 on.  For reports: it's numbered in one task."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    head = [(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))]
+    rows = df.select((F.row_number().over(Window.orderBy(*columns)) + 1).alias("place"), line.alias("line"))
+    return df.sparkSession.createDataFrame(head, "place int, line string").unionByName(rows)
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """Add records to a folder of JSON lines."""
+    records.write.mode("append").json(path)
+
+
+def load_records(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Records of such a folder; blank lines are passed over, a line that can't be read is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def measure(queries: dict, run, warm: int = 8) -> dict:
+    """{name: (p50, p95, per second)} of run(query) in seconds, after some calls that don't count; by nearest rank."""
+    import time
+
+    out = {}
+    for name, asked in queries.items():
+        asked = list(asked)
+        for q in asked[:warm]:
+            run(q)
+        took = []
+        for q in asked:
+            began = time.perf_counter()
+            run(q)
+            took.append(time.perf_counter() - began)
+        took.sort()
+        at = lambda p: took[p * (len(took) - 1) // 100]
+        out[name] = (at(50), at(95), len(took) / sum(took)) if took else (0.0, 0.0, 0.0)
+    return out

@@ -10,7 +10,7 @@ from ..functions import vector as V
 from ..operators import chunk, encode, graph, subword
 from ..operators import dense as D
 from ..operators import evaluate as E
-from ..operators import fuse, lexical, sparse
+from ..operators import fuse, lexical, models, sparse
 from ..operators.rows import spread
 from ..operators.shared import scratch
 from ..operators.topk import threshold, top_k
@@ -225,9 +225,9 @@ def _term_id(term) -> F.Column:
     return F.conv(F.substring(F.md5(term), 1, 12), 16, 10).cast("bigint")
 
 
-def _sparse_docs(spark, d):
+def _weighted(toks: DataFrame) -> DataFrame:
     """Documents as sparse vectors: ln(1 + tf) of each token."""
-    p = lexical.postings(doc_tokens(spark, d)).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    p = lexical.postings(toks).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
     return sparse.build(p.select("doc_id", F.transform("p", lambda x: _term_id(x["term"])).alias("terms"), F.transform("p", lambda x: F.log1p(x["tf"])).alias("weights")))
 
 
@@ -240,6 +240,10 @@ _TERM_ID = "('0x' || substr(md5(term), 1, 12))::BIGINT"
 _SPARSE = f"t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), sp AS (SELECT doc_id, {_TERM_ID} AS term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL), q AS (SELECT query_id, {_TERM_ID} AS term, count(*)::DOUBLE AS qw FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), f AS (SELECT query_id, doc_id, sum(qw * w) AS score FROM sp JOIN q USING (term) GROUP BY ALL)"
 
 
+def _sparse_docs(spark, d):
+    return _weighted(doc_tokens(spark, d))
+
+
 @query(f"WITH {_SPARSE} SELECT doc_id, term, round(w, 6) AS weight FROM sp")
 def sparse_build(spark, d):
     return _sparse_docs(spark, d).withColumn("weight", r6(F.col("weight")))
@@ -391,10 +395,98 @@ def hybrid_rrf(spark, d):
     return hits(fuse.hybrid(*_lists(spark, d), 50))
 
 
-@query(f"SELECT z.*, lang, n_chars FROM ({_fusion('1::DOUBLE / (60 + rank)')}) z JOIN documents USING (doc_id)")
+# --- pipelines --------------------------------------------------------------------------------------------
+# Their models are planted: a token's vector is the embedding whose number is the token's length, so that SQL can follow.
+
+_CHUNKS = r"""cl AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines FROM documents WHERE text <> ''), ch AS (SELECT doc_id * 10000 + s // 45 AS doc_id, array_to_string(lines[s + 1:s + 50], '') AS text FROM (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 5, 1)::BIGINT, 45)) AS s FROM cl))"""
+_CHUNK_BM25 = f"{_CHUNKS}, {_bm25().replace('FROM documents', 'FROM ch')}"
+_EMBEDDED = f"""el AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+ tx AS (SELECT 0 AS kind, doc_id AS id, {_TOK} AS w FROM ch UNION ALL SELECT 1, item_id, {_TOK} FROM benchmark), tl AS (SELECT kind, id, len(u) AS vec_id, count(*) AS n FROM (SELECT kind, id, unnest(w) AS u FROM tx) GROUP BY ALL),
+ tm AS (SELECT kind, id, pos, sum(n * x) AS y FROM tl JOIN el USING (vec_id) GROUP BY ALL), tv AS (SELECT kind, id, pos, y / sqrt(sum(y * y) OVER (PARTITION BY kind, id)) AS y FROM tm),
+ f0 AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.y * d.y) AS score FROM tv q JOIN tv d USING (pos) WHERE q.kind = 1 AND d.kind = 0 GROUP BY ALL),
+ f AS (SELECT qq.id AS query_id, dd.id AS doc_id, coalesce(score, 0) AS score FROM (SELECT id FROM tx WHERE kind = 1) qq CROSS JOIN (SELECT id FROM tx WHERE kind = 0) dd LEFT JOIN f0 ON f0.query_id = qq.id AND f0.doc_id = dd.id)"""
+_OVERLAP = f"ov AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS qt FROM benchmark), dt AS (SELECT doc_id, list_distinct({_TOK}) AS dt FROM ch)"
+
+
+def chunks(spark, d):
+    """Line windows of all documents, numbered by document and place."""
+    w = chunk.line_windows(table(spark, d, "documents"))
+    return w.select((F.col("doc_id") * 10000 + F.col("chunk_idx")).alias("doc_id"), "text")
+
+
+def _lengths(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.transform("tokens", lambda w: F.length(w)).alias("ids"))
+
+
+def _static(spark, d, toks: DataFrame) -> DataFrame:
+    """(doc_id, embedding) of (doc_id, tokens)."""
+    vocab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(1.0).alias("weight"))
+    y = encode.static_embed(_lengths(toks), vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("v"))
+    return y.select("doc_id", F.transform("v", lambda s: s["y"]).alias("embedding"))
+
+
+def _overlap():
+    """The share of a query's tokens that a document holds."""
+    return F.size(F.array_intersect("query_ids", "doc_ids")) / F.size(F.array_distinct("query_ids"))
+
+
+@query(f"""WITH {_CHUNK_BM25}, {_EMBEDDED}, {_OVERLAP}, l AS (SELECT 0 AS li, * FROM ({_top('f', 50)}) UNION ALL SELECT 1 AS li, * FROM ({_top('s', 50)})), g AS (SELECT query_id, doc_id, sum(1::DOUBLE / (60 + rank)) AS score, min(li * 1000 + rank) AS seen FROM l GROUP BY ALL),
+ h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rn FROM g), r AS (SELECT query_id, doc_id, len(list_intersect(qt, dt)) / len(qt)::DOUBLE AS score FROM h JOIN ov USING (query_id) JOIN dt USING (doc_id) WHERE rn <= 50)
+ SELECT z.*, text FROM ({_top('r')}) z JOIN ch USING (doc_id)""")
 def rag_pipeline(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return hits(fuse.hybrid(*_lists(spark, d), 50)).join(docs, "doc_id").select("query_id", "doc_id", "score", "rank", "lang", "n_chars")
+    """Chunk, embed, retrieve by words and by vectors, fuse, rerank, and give the chunks' texts."""
+    parts = chunks(spark, d)
+    toks, asked = lexical.tokens(parts, T.tokenize_plain), text_queries(spark, d)
+    dense = D.flat_top_k(_static(spark, d, toks), _static(spark, d, asked.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")), 50)
+    fused = fuse.hybrid(dense, top_k(lexical.bm25(toks, asked), 50, ["query_id"], positive=True), 50).filter("rank <= 50")
+    best = models.rerank(fused, asked.withColumnRenamed("tokens", "query_ids"), toks.withColumnRenamed("tokens", "doc_ids"), K, _overlap())
+    return hits(best).join(parts, "doc_id")
+
+
+@query(f"WITH {_bm25()}, l AS ({_top('s', 50)}), qt AS (SELECT item_id AS query_id, list_distinct({_TOK}) AS qt FROM benchmark), dt AS (SELECT doc_id, list_distinct({_TOK}) AS dt FROM documents), r AS (SELECT query_id, doc_id, len(list_intersect(qt, dt)) / len(qt)::DOUBLE AS score FROM l JOIN qt USING (query_id) JOIN dt USING (doc_id)) {_top('r')}")
+def rerank_topk(spark, d):
+    toks, asked = doc_tokens(spark, d), text_queries(spark, d)
+    short = top_k(lexical.bm25(toks, asked), 50, ["query_id"], positive=True)
+    return hits(models.rerank(short, asked.withColumnRenamed("tokens", "query_ids"), toks.withColumnRenamed("tokens", "doc_ids"), K, _overlap()))
+
+
+@query(f"WITH {_bm25()}, l AS ({_top('s', 50)}), v AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 64 AND b.vec_id < 64), qt AS (SELECT item_id AS query_id, generate_subscripts({_TOK}, 1) AS i, len(unnest({_TOK})) AS a FROM benchmark), dt AS (SELECT DISTINCT doc_id, len(w) AS b FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents)), x AS (SELECT query_id, doc_id, i, max(dot) AS best FROM l JOIN qt USING (query_id) JOIN dt USING (doc_id) JOIN v USING (a, b) GROUP BY ALL), r AS (SELECT query_id, doc_id, sum(best) AS score FROM x GROUP BY ALL) {_top('r')}")
+def colbert_rerank(spark, d):
+    """Late interaction over a lexical shortlist; tokens of 64 characters or more have no vector."""
+    rows = [r["embedding"] for r in table(spark, d, "embeddings").filter("vec_id < 64").orderBy("vec_id").collect()]
+    toks, asked = doc_tokens(spark, d), text_queries(spark, d)
+    short = top_k(lexical.bm25(toks, asked), 50, ["query_id"], positive=True)
+    q = asked.select("query_id", F.transform("tokens", lambda w: F.length(w)).alias("query_ids"))
+    held = toks.select("doc_id", F.array_distinct(F.transform("tokens", lambda w: F.length(w))).alias("doc_ids"))
+    return hits(models.rerank(short, q, held, K, models.LateScorer(rows)))
+
+
+@query(f"WITH {_CHUNKS}, {_SPARSE.replace('FROM documents', 'FROM ch')} {_top('(SELECT * FROM f WHERE score > 0)')}")
+def splade_pipeline(spark, d):
+    """Chunk, expand into weighted terms, and retrieve by them."""
+    return hits(top_k(sparse.scores(_weighted(lexical.tokens(chunks(spark, d), T.tokenize_plain)), _sparse_queries(spark, d)), K, ["query_id"], positive=True))
+
+
+_ITEM_I8 = f"{_I8}, f AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(v.codes::DOUBLE[], q.codes::DOUBLE[]) * q.scale * v.scale AS score FROM i8 v CROSS JOIN (SELECT i8.* FROM i8 JOIN benchmark ON item_id = vec_id) q)"
+
+
+@query(_fusion("1::DOUBLE / (60 + rank)").replace(_ITEM_FLAT, _ITEM_I8))
+def embedded_corpus(spark, d):
+    """A corpus kept in 8 bits and in words, 50 of each fused."""
+    path = scratch(spark, "flat-i8")
+    D.save_i8(D.build_i8(vectors(spark, d), DIM), path, DIM)
+    index, dim = D.load_i8(spark, path)
+    dense = D.i8_top_k(index, item_vectors(spark, d), 50, dim)
+    return hits(fuse.hybrid(dense, _lists(spark, d)[1], 50))
+
+
+@query(f"WITH z AS ({_fusion('1::DOUBLE / (60 + rank)')}), b AS (SELECT query_id, doc_id AS image FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM z JOIN embeddings ON vec_id = doc_id) WHERE rn = 1), f AS (SELECT b.query_id, v.vec_id AS doc_id, list_dot_product(v.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM b JOIN embeddings i ON i.vec_id = b.image CROSS JOIN embeddings v) {_top('f')}")
+def caption_to_images(spark, d):
+    """Captions (documents) and images (embeddings) under one number: the best fused hit with an image is asked for the images like it."""
+    images = vectors(spark, d)
+    best = fuse.hybrid(*_lists(spark, d), 50).join(images.select("doc_id", F.col("embedding").alias("query")), "doc_id")
+    best = best.groupBy("query_id").agg(F.min_by("query", "rank").alias("query"))
+    return hits(D.flat_top_k(images, best, K))
 
 
 _DELTA = f"WITH {_FLAT}, o AS (SELECT f.*, CASE WHEN label < 8 THEN 0 ELSE 1 END AS li FROM f JOIN embeddings ON vec_id = doc_id), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, li ORDER BY round(score, 9) DESC, doc_id) AS rank FROM o) WHERE rank <= {K}), g AS (SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) AS score, li * 1000 + rank AS seen FROM l) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM g"
@@ -552,6 +644,27 @@ def report_speedup(spark, d):
     return E.speedups(_bench(spark, d), ["workload", "batch"], "backend", "qps", "O").withColumn("speedup", r6(F.col("speedup")))
 
 
+@query(f"WITH {_BENCH} SELECT workload, batch, round(max(speedup) FILTER (backend = 'F'), 6) AS speedup_f, round(max(speedup) FILTER (backend = 'O'), 6) AS speedup_o FROM s GROUP BY ALL")
+def report_pivot(spark, d):
+    p = E.pivoted(E.speedups(_bench(spark, d), ["workload", "batch"], "backend", "qps", "O"), ["workload", "batch"], "backend", ["F", "O"])
+    return p.select("workload", "batch", r6(F.col("F")).alias("speedup_f"), r6(F.col("O")).alias("speedup_o"))
+
+
+@query(f"WITH {_BENCH} SELECT '| ' || workload || ' | ' || batch || ' | ' || backend || ' | ' || CASE WHEN qps >= 1000000 THEN regexp_replace(printf('%.1f', qps / 1e6), '\\.0$', '') || 'M' WHEN qps >= 1000 THEN regexp_replace(printf('%.1f', qps / 1e3), '\\.0$', '') || 'k' ELSE regexp_replace(printf('%.1f', qps), '\\.0$', '') END || ' |' AS line FROM b")
+def report_table(spark, d):
+    rows = E.table(_bench(spark, d).withColumn("qps", E.human(F.col("qps"))), ["workload", "batch", "backend", "qps"])
+    return rows.filter("place > 1").select("line")
+
+
+@query("SELECT event_type AS workload, event_id AS seq, round(value, 2) AS qps FROM events")
+def records_kept(spark, d):
+    """Records appended twice as lines of JSON, and read again."""
+    path, e = scratch(spark, "records"), table(spark, d, "events").select(F.col("event_type").alias("workload"), F.col("event_id").alias("seq"), F.round("value", 2).alias("qps"))
+    for part in (e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1")):
+        E.append_records(part, path)
+    return E.load_records(spark, path, e.schema)
+
+
 @query(f"WITH {_BENCH} SELECT workload, backend, min(batch) FILTER (speedup >= 1) AS crossover FROM s GROUP BY ALL")
 def report_crossover(spark, d):
     return E.crossover(E.speedups(_bench(spark, d), ["workload", "batch"], "backend", "qps", "O"), ["workload", "backend"], "batch")
