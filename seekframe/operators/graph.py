@@ -1,35 +1,82 @@
 """Approximate dense retrieval on layered proximity graphs, one for each shard of vectors.
 
-A shard's graph is built in one task and kept as a row (shard, ids, levels, links, codes); a query goes through every
-shard's graph, and the shards' best are merged exactly.  Shards are sized by rows, so their number grows with the data.
+A shard's graph is built in one task and kept as a row of arrays (numbers of a known width, nothing that runs when it's read), which are held
+against each other when they're loaded.  A query goes through every shard's graph, and the shards' best are merged exactly.  Shards are sized by rows, so their number grows with the data.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .topk import top_k
 
 SHARD_ROWS = 50_000
-VERSION = 1
-GRAPH = "version int, shard int, graph binary"
+VERSION = 2
+GRAPH = "version int, shard int, dim int, most int, start int, top int, ids binary, rows binary, scales binary, levels binary, counts binary, links binary"
+#: What of (version, shard) and sizes a reader checks against each other.
+_NUMBERS = {"ids": "<i8", "scales": "<f4", "levels": "<i4", "counts": "<i4", "links": "<i4"}
 
 
 class Graph:
-    def __init__(self, dim: int, m: int = 16, build_ef: int = 200, seed: int = 1, heuristic: bool = True):
-        self.m, self.most0, self.build_ef, self.heuristic = max(2, m), 2 * max(2, m), build_ef, heuristic
-        self.vectors, self.ids, self.links, self.top, self.start = np.zeros((0, dim), np.float32), np.zeros(0, np.int64), [], -1, -1
+    """int8: vectors are held as 8-bit codes and a scale, and compared with 8-bit queries in whole numbers."""
+
+    def __init__(self, dim: int, m: int = 16, build_ef: int = 200, seed: int = 1, heuristic: bool = True, int8: bool = False):
+        self.m, self.most0, self.build_ef, self.heuristic, self.int8 = max(2, m), 2 * max(2, m), build_ef, heuristic, int8
+        self.vectors, self.ids, self.links, self.top, self.start = np.zeros((0, dim), np.int8 if int8 else np.float32), np.zeros(0, np.int64), [], -1, -1
+        self.scales = np.zeros(0, np.float32)
         self.random, self.scale = np.random.default_rng(seed), 1 / log(max(2, m))
 
+    def dump(self) -> tuple:
+        """Everything but version and shard, as in GRAPH."""
+        flat = [layer for node in self.links for layer in node]
+        parts = (self.ids.astype("<i8"), self.vectors, self.scales.astype("<f4"), np.array([len(x) for x in self.links], "<i4"), np.array([len(x) for x in flat], "<i4"), np.array([n for x in flat for n in x], "<i4"))
+        return (self.vectors.shape[1], self.m, self.start, self.top, *(x.tobytes() for x in parts))
+
+    @classmethod
+    def load(cls, version: int, dim: int, most: int, start: int, top: int, **parts: bytes) -> Graph:
+        """A kept graph; parts that don't fit together are an error."""
+        if version != VERSION:
+            raise ValueError(f"unknown graph version {version}")
+        for name, kind in _NUMBERS.items():
+            if len(parts[name]) % np.dtype(kind).itemsize:
+                raise ValueError(f"broken graph: {name} isn't made of whole numbers")
+        x = {name: np.frombuffer(parts[name], kind) for name, kind in _NUMBERS.items()}
+        n, int8 = len(x["ids"]), len(x["scales"]) > 0
+        width = dim * (1 if int8 else 4)
+        fits = len(parts["rows"]) == n * width and len(x["levels"]) == n and len(x["scales"]) in (0, n) and x["levels"].sum() == len(x["counts"]) and x["counts"].sum() == len(x["links"])
+        if not fits or (x["levels"] < 1).any() or (x["counts"] < 0).any() or len(x["links"]) and not (0 <= x["links"].min() and x["links"].max() < n) or n and not (0 <= start < n and x["levels"][start] == top + 1):
+            raise ValueError("broken graph: its parts don't fit together")
+        g = cls(dim, most, int8=int8)
+        g.ids, g.vectors, g.scales, g.start, g.top = x["ids"], np.frombuffer(parts["rows"], np.int8 if int8 else "<f4").reshape(n, dim), x["scales"], start, top
+        ends, links = np.cumsum(x["counts"]).tolist(), x["links"].tolist()
+        layers = [links[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        at = np.concatenate(([0], np.cumsum(x["levels"]))).tolist()
+        g.links = [layers[a:b] for a, b in zip(at, at[1:])]
+        return g
+
+    def _scores(self, rows, v) -> np.ndarray:
+        """Of some rows with a query, or with a row of their own."""
+        if not self.int8:
+            return self.vectors[rows] @ v
+        codes, scale = v
+        # whole numbers of up to 2**24 are exact in 32-bit floats
+        kind = np.float32 if self.vectors.shape[1] <= 1040 else np.float64
+        return (self.vectors[rows].astype(kind) @ codes.astype(kind)) * (scale * self.scales[rows])
+
+    def _own(self, i: int):
+        return (self.vectors[i], self.scales[i]) if self.int8 else self.vectors[i]
+
     def fill(self, ids: np.ndarray, vectors: np.ndarray) -> Graph:
         self.ids, self.vectors = ids, vectors
+        if self.int8:
+            self.vectors, self.scales = quantized(vectors)
         for i, u in enumerate(self.random.random(len(ids))):
             self._add(i, int(-log(max(u, 1e-300)) * self.scale))
         return self
@@ -39,7 +86,7 @@ class Graph:
         if self.start < 0:
             self.start, self.top = i, level
             return
-        v, near = self.vectors[i], [self.start]
+        v, near = self._own(i), [self.start]
         for layer in range(self.top, -1, -1):
             found = self._beam(v, near, self.build_ef if layer <= level else 1, layer)
             near = [n for _, n in found]
@@ -50,7 +97,7 @@ class Graph:
                 back, most = self.links[n][layer], self.most0 if layer == 0 else self.m
                 back.append(i)
                 if len(back) > most:
-                    s = self.vectors[back] @ self.vectors[n]
+                    s = self._scores(back, self._own(n))
                     self.links[n][layer] = self._select(sorted(zip(s.tolist(), back), key=lambda x: (-x[0], x[1])), most)
         if level > self.top:
             self.start, self.top = i, level
@@ -63,7 +110,7 @@ class Graph:
         for s, n in found:
             if len(chosen) == m:
                 break
-            if chosen and (self.vectors[chosen] @ self.vectors[n] > s).any():
+            if chosen and (self._scores(chosen, self._own(n)) > s).any():
                 rest.append(n)
             else:
                 chosen.append(n)
@@ -72,7 +119,7 @@ class Graph:
     def _beam(self, v: np.ndarray, starts: list[int], ef: int, layer: int, keep: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The ef best found from starts on, best first; nodes outside keep lead on but aren't returned."""
         seen = set(starts)
-        first = list(zip((self.vectors[starts] @ v).tolist(), starts))
+        first = list(zip(self._scores(starts, v).tolist(), starts))
         todo = [(-s, n) for s, n in first]
         best = [(s, -n) for s, n in first if keep is None or keep[n]]
         heapq.heapify(todo)
@@ -85,7 +132,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for s, x in zip((self.vectors[new] @ v).tolist(), new):
+            for s, x in zip(self._scores(new, v).tolist(), new):
                 if len(best) < ef or s > best[0][0]:
                     heapq.heappush(todo, (-s, x))
                     if keep is None or keep[x]:
@@ -97,21 +144,24 @@ class Graph:
     def query(self, v: np.ndarray, k: int, ef: int = 64, keep: np.ndarray | None = None) -> list[tuple[int, float]]:
         if k <= 0 or self.start < 0 or len(v) != self.vectors.shape[1]:
             return []
+        if self.int8:
+            codes, scales = quantized(v[None])
+            v = codes[0], scales[0]
         near = [self.start]
         for layer in range(self.top, 0, -1):
             near = [self._beam(v, near, 1, layer)[0][1]]
         return [(int(self.ids[n]), s) for s, n in self._beam(v, near, max(ef, k), 0, keep)[:k]]
 
 
-def quantized(v: np.ndarray) -> np.ndarray:
-    """Rows rounded to 8 bits and back, as an index of codes compares them."""
-    top = np.abs(v).max(1, keepdims=True)
+def quantized(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(8-bit codes, scale) of each row; zeros have scale 1."""
+    top = np.abs(v).max(1)
     scale = np.where(top > 0, top / 127, 1).astype(np.float32)
-    return np.round(v / scale).clip(-127, 127) * scale
+    return np.rint(v / scale[:, None]).clip(-127, 127).astype(np.int8), scale
 
 
 def build(vectors: DataFrame, m: int = 16, build_ef: int = 200, int8: bool = False, heuristic: bool = True, shards: int | None = None, seed: int = 1) -> DataFrame:
-    """(version, shard, graph): to be written or persisted once and searched often."""
+    """Graphs as in GRAPH, to be kept once and searched often.  Without a number of shards the vectors are counted, which reads no column of theirs."""
     shards = shards or max(1, -(-vectors.count() // SHARD_ROWS))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,22 +170,29 @@ def build(vectors: DataFrame, m: int = 16, build_ef: int = 200, int8: bool = Fal
         dim = len(rows[0])
         fits = [len(r) == dim for r in rows]
         v = np.array([r for r, ok in zip(rows, fits) if ok], np.float32)
-        g = Graph(dim, m, build_ef, seed, heuristic).fill(pdf["doc_id"].to_numpy(np.int64)[fits], quantized(v) if int8 else v)
-        return pd.DataFrame([(VERSION, int(key[0]), pickle.dumps(g))], columns=["version", "shard", "graph"])
+        g = Graph(dim, m, build_ef, seed, heuristic, int8).fill(pdf["doc_id"].to_numpy(np.int64)[fits], v)
+        return pd.DataFrame([(VERSION, int(key[0]), *g.dump())], columns=[f.split()[0] for f in GRAPH.split(", ")])
 
     placed = vectors.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     return placed.groupBy("shard").applyInPandas(one, GRAPH)
 
 
+def save(graphs: DataFrame, path: str) -> None:
+    store.save(graphs.sparkSession, path, "graph", {"graphs": graphs})
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return store.load(spark, path, "graph")[0]["graphs"]
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, keep=None) -> DataFrame:
     """The k best for each query.  keep takes an array of ids and says which may be returned; k <= 0 gives nothing."""
 
     def per_shard(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held):
-            if held["version"].iloc[0] != VERSION:
-                raise ValueError(f"unknown graph version {held['version'].iloc[0]}")
-            graph = pickle.loads(held["graph"].iloc[0])
+            row = held.iloc[0].to_dict()
+            graph = Graph.load(**{k: v for k, v in row.items() if k != "shard"})
             alive = None if keep is None else np.asarray(keep(graph.ids), bool)
             for qid, q in zip(asked["query_id"], asked["query"]):
                 out += [(qid, i, s) for i, s in graph.query(np.asarray(q, np.float32), k, ef, alive)]
