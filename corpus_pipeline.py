@@ -13,27 +13,47 @@ from seekframe.llm.secrets import mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their compression bands."""
+    """Documents within their compression bands.
+
+    Null, empty and blank texts go; each repeated row is measured by itself; a ratio at a limit is within; a long text is
+    measured whole; null ids and clashing columns are passed on; an empty table stays empty.
+    """
     return quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that with the least id, one with an id before one without.
+
+    Null texts all stay, empty texts are equal; of rows with equal text and id one stays; long texts are compared whole; all columns
+    are passed on; an empty table stays empty.
+    """
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """The documents that are no near copy of one with a smaller id that stays.
+
+    Null, empty and wordless texts and rows with a null id stay; rows repeated under one id stay or go together; a pair at exactly the
+    threshold counts; long texts count whole; all columns are passed on; an empty table stays empty.
+    """
     return near_dedup(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked, n_chars set to the new length where a text changed.
+
+    Null and empty texts, null ids, repeated rows and other columns are as before; of rules that match at one place the first counts; long
+    texts are scanned whole; an empty table stays empty.
+    """
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in a training sequence."""
+    """The place of each piece of each document in a training sequence.
+
+    Null, empty and blank texts have no place; a null id is passed on; repeated rows are packed once each; equal lengths are ranked by id; a long
+    text is cut into full sequences and a rest; other columns aren't read; an empty table gives no rows.
+    """
     return pack(docs)
 
 

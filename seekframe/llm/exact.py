@@ -10,7 +10,7 @@ no digest takes part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, packed, unpacked
@@ -51,10 +51,11 @@ def _ended_groups(docs: DataFrame, id_col: str, text_col: str, first_bytes: int,
 
 
 def _with_keeper(groups: DataFrame, id_col: str) -> DataFrame:
+    """Each row with the one that its group keeps, which is found with map-side minima: a group of any size is one row per task."""
     own = F.col("row").getField(id_col)
     # Only the first pass numbers groups otherwise than by a row of theirs; the length tells these apart.
-    group = Window.partitionBy("n", "gid")
-    return groups.withColumn("keeper", F.min(F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("rid"))).over(group))
+    least = groups.groupBy("n", "gid").agg(F.min(F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("rid"))).alias("keeper"))
+    return groups.join(Table(least, "radix-keepers").side(), ["n", "gid"])
 
 
 def exact_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = FIRST_BYTES, growth: int = GROWTH) -> DataFrame:

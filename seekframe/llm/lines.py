@@ -174,6 +174,12 @@ class Shard:
         return self.refs["doc"][later], self.refs["line"][later], first[later]
 
 
+def shards_for(docs: DataFrame, text_col: str = "text") -> int:
+    """How many shards the lines of docs need, from the bytes of its texts."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    return max(1, -(-int(size) // SHARD_BYTES))
+
+
 def lines_of(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, k1, k2, doc, line) of all lines that aren't blank; a line's spaces at either end don't count."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
@@ -195,8 +201,17 @@ def _apply(how: str):
     return run
 
 
+#: Bytes of text whose lines a shard is made for: some tens of thousands of references, so that its state fits a cell of a row.
+SHARD_BYTES = 16 << 20
+
+
 class LineIndex:
-    """The state of all shards, as a table in the shared folder, replaced by each change."""
+    """The state of all shards, as a table in the shared folder, replaced by each change.
+
+    shards is best chosen for all the text that the index will ever hold: shards_for() gives it.  Each change takes null and
+    empty texts as without lines, leaves rows with a null id out, and takes rows repeated under one id as that document's lines, each;
+    an empty table changes nothing, and other columns aren't read.
+    """
 
     def __init__(self, spark, shards: int | None = None):
         self.spark, self.shards = spark, shards or shuffle_partitions(spark)
@@ -213,11 +228,14 @@ class LineIndex:
         return self._change("insert", docs, id_col, text_col)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Take documents out again; their rows must have the texts that were inserted."""
+        """Take documents out again; their rows must have the texts that were inserted.  One that was never inserted changes nothing."""
         return self._change("delete", docs, id_col, text_col)
 
     def dropped(self) -> DataFrame:
-        """(doc_id, line_no, keep_id) of every line that an earlier document, or place in its own, has: keep_id is the document that keeps it."""
+        """(doc_id, line_no, keep_id) of every line that an earlier document, or place in its own, has: keep_id is the document that keeps it.
+
+        Of equal lines that with the least (id, number) stays; an empty index gives no rows.
+        """
 
         def run(batches):
             for pdf in batches:
@@ -236,11 +254,14 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id count as one document's lines, each; an empty table gives no rows; other columns aren't read; a long text
     is indexed whole.  Ids must be integers.
     """
-    return LineIndex(docs.sparkSession, shards).insert(docs, id_col, text_col).dropped()
+    return LineIndex(docs.sparkSession, shards or shards_for(docs, text_col)).insert(docs, id_col, text_col).dropped()
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines that ``dropped`` names; texts that lose none are as before."""
+    """docs without the lines that ``dropped`` names; texts that lose none, null and empty ones among them, are as before.
+
+    All columns stay, whatever their names; rows repeated under one id lose the same lines; a null id loses none.
+    """
     columns = docs.columns
     by = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("_id")).join(by, "_id", "left")

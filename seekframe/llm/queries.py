@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe
 from .exact import exact_pairs
 from .license import scan_licenses
-from .lines import line_duplicates
+from .lines import LineIndex, shards_for
 from .njoin import ngram_classes
 from .packing import pack
 from .quality import quality_report
@@ -45,7 +46,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(_documents(spark, sf_dir))
+    """English documents arrive first, then all others; then those that are labelled as bad are deleted again."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    bad = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    return LineIndex(spark, shards_for(docs)).insert(docs.filter(english)).insert(docs.filter(~english)).delete(bad).dropped()
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> keep_id""",
     "op7_line_dedup": """
-        WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents),
+        WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
         ranked AS (SELECT doc_id, line_no, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY line ORDER BY doc_id, line_no))
         SELECT doc_id, line_no, keep_id FROM ranked WHERE rn > 1""",
 }
