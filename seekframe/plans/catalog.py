@@ -739,6 +739,28 @@ def chunk_markdown(spark, d):
     return chunk.chunk_files(docs, "markdown")
 
 
+def _joined(found: DataFrame) -> DataFrame:
+    """(file, md5) of the chunks of each file, put together again."""
+    parts = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))).alias("parts"))
+    return parts.select("file", F.md5(F.array_join(F.transform("parts", lambda s: s["text"]), "")).alias("md5"))
+
+
+@query("SELECT url || '.ts' AS file, md5(html) AS md5 FROM pages WHERE html <> ''")
+def chunk_regex_joined(spark, d):
+    return _joined(chunk_regex(spark, d))
+
+
+@query("SELECT doc_id || '.md' AS file, md5(text) AS md5 FROM documents WHERE text <> ''")
+def chunk_markdown_joined(spark, d):
+    return _joined(chunk_markdown(spark, d))
+
+
+@query("SELECT page_id || '.rs' AS file, md5(html) AS md5 FROM pages WHERE html <> ''")
+def chunk_cast_joined(spark, d):
+    p = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".rs")).alias("file"), F.col("html").alias("source"))
+    return _joined(chunk.chunk_files(p, "cast"))
+
+
 @query("SELECT 'regex' AS chunker, CASE page_id % 2 WHEN 0 THEN 'none' ELSE 'unsupported' END AS fallback, count(*) AS n FROM pages GROUP BY ALL")
 def chunk_fallback_stats(spark, d):
     ext = F.when(F.col("page_id") % 2 == 0, F.lit(".go")).otherwise(F.lit(".unknown"))
