@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import Table
 from .exact import exact_pairs
 from .license import scan_licenses
 from .lines import LineIndex, shards_for
@@ -49,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents arrive first, then all others; then those that are labelled as bad are deleted again."""
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    bad = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    bad = docs.join(Table(labels.filter("quality = 0").select("doc_id").distinct(), "bad").side(), "doc_id", "left_semi")
     return LineIndex(spark, shards_for(docs)).insert(docs.filter(english)).insert(docs.filter(~english)).delete(bad).dropped()
 
 
