@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,33 @@ def tokens(docs: DataFrame, analyzer, id_col: str = "doc_id", text_col: str = "t
     return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", analyzer(F.col("text")).alias("tokens"))
 
 
+def counted(toks: DataFrame, mark: bool = False) -> DataFrame:
+    """(doc_id, len, term, tf) of every document, each row of toks being one; mark: and a posting of MARK for each.
+
+    A document's tokens are in one row, so they're counted where they are, a batch of rows at a time, and nothing is shuffled.
+    """
+    kind = toks.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                n = pc.fill_null(pc.list_value_length(part["tokens"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = part["tokens"].flatten().dictionary_encode()
+                many = max(1, len(words.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(len(n)), n) * many + words.indices.to_numpy(), return_counts=True)
+                doc, term = key // many, words.dictionary.take(pa.array(key % many))
+                if mark:
+                    doc, tf = np.concatenate((doc, np.arange(len(n)))), np.concatenate((tf, np.ones(len(n), np.int64)))
+                    term = pa.concat_arrays([term, pa.array([MARK] * len(n), term.type)])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(n[doc]), term, pa.array(tf)], ["doc_id", "len", "term", "tf"])
+
+    return toks.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, len bigint, term string, tf bigint")
+
+
 def postings(toks: DataFrame) -> DataFrame:
     """(doc_id, term, tf)"""
-    return toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return counted(toks).drop("len")
 
 
 def corpus(toks: DataFrame) -> DataFrame:
@@ -45,9 +72,7 @@ def norms(toks: DataFrame) -> DataFrame:
 
 def terms(toks: DataFrame) -> DataFrame:
     """(term, df, max_tf, min_len)"""
-    lens = toks.select("doc_id", F.size("tokens").cast("bigint").alias("len"), F.explode("tokens").alias("term"))
-    each = lens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+    return counted(toks).groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
 
 
 def idf(n, df):
@@ -60,10 +85,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _marked(toks: DataFrame, qt: DataFrame) -> DataFrame:
-    """(doc_id, len, term, tf) of the queries' terms, and of MARK once for each document."""
-    marked = toks.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("len"), F.explode(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit(MARK)))).alias("term"))
+    """(doc_id, len, term, tf) of the queries' terms, and of MARK once for each document; laid out by document, so that all who need it read one exchange."""
     wanted = qt.select("term").union(qt.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
-    return marked.join(wanted, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    return counted(toks, mark=True).join(wanted, "term").repartition("doc_id")
 
 
 def _parts(toks: DataFrame, qt: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,7 +155,7 @@ class Index:
     def build(cls, spark: SparkSession, toks: DataFrame, path: str) -> Index:
         """Tokenize a corpus once and keep it at path: the postings ordered by term, so that a query reads the row groups of its terms."""
         docs = toks.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("len"))
-        postings = toks.select("doc_id", F.size("tokens").cast("bigint").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
+        postings = counted(toks).select("term", "doc_id", "len", "tf")
         postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
         docs.write.parquet(f"{path}/docs")
         postings, docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
