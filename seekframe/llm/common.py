@@ -8,11 +8,14 @@ when the JVM ends or when the operator says so.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +142,43 @@ def slices(batches, text_col: str, chars: int = 4 << 20):
                 yield pdf.iloc[a:b].reset_index(drop=True)
 
 
+# --- memory of Python workers ------------------------------------
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system; a worker that waits for its next task would keep it, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function of batches that gives back its memory once it has read them all."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def lean_group(run):
+    """A function of one group that gives back its memory after each."""
+
+    @functools.wraps(run)
+    def inner(pdf):
+        try:
+            return run(pdf)
+        finally:
+            give_back()
+
+    return inner
+
+
 # --- word n-grams on bytes, a whole Arrow batch at a time -------------------------------------------------
 
 _WORD = np.zeros(256, np.bool_)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, components, mix, ngram_names, packed, shuffle_partitions, stable, unpacked, words_of
+from .common import Table, components, lean, lean_group, mix, ngram_names, packed, shuffle_partitions, stable, unpacked, words_of
 
 N = 5
 THRESHOLD = 0.3
@@ -558,11 +558,11 @@ class _Join:
         keys = [F.xxhash64("text") == F.col("h1"), F.xxhash64(F.lit("second"), "text") == F.col("h2"), F.col("doc_id") == F.col("copy")]
         first = narrow.join(copies.side(), keys, "left_anti")
 
-        marks = first.mapInArrow(_mark(n, buckets), _MARKS).groupBy("bucket").applyInPandas(_count_marks, _HELD)
-        able = Table(marks.groupBy("slice").applyInPandas(_passing(threshold), "id bigint, size bigint"), "join-able")
+        marks = first.mapInArrow(lean(_mark(n, buckets)), _MARKS).groupBy("bucket").applyInPandas(lean_group(_count_marks), _HELD)
+        able = Table(marks.groupBy("slice").applyInPandas(lean_group(_passing(threshold)), "id bigint, size bigint"), "join-able")
         buckets, bins = (max(1, -(-_total(able, "size") // x)) for x in (BUCKET_GRAMS, BIN_POSTINGS))
         passed = first.join(able.side(), F.col("doc_id") == F.col("id"), "left_semi")
-        sets = Table(passed.mapInArrow(_name(n, with_lines), _SET), "join-sets")
+        sets = Table(passed.mapInArrow(lean(_name(n, with_lines)), _SET), "join-sets")
         able.drop()
 
         # of documents with identical sets, the least id stands for all
@@ -583,8 +583,8 @@ class _Join:
             whole = whole.join(weights.side(), "id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
         else:
             whole = whole.withColumn("weight", F.lit(1))
-        blobs = whole.select(*_ROW, "grams", "places", "lines", "counts").mapInArrow(_blobs(buckets), _GRAMS).groupBy("bucket").applyInPandas(_count_grams, _SHARED)
-        ranked = blobs.groupBy("slice").applyInPandas(_rank_slice(threshold), _RANKED)
+        blobs = whole.select(*_ROW, "grams", "places", "lines", "counts").mapInArrow(lean(_blobs(buckets)), _GRAMS).groupBy("bucket").applyInPandas(lean_group(_count_grams), _SHARED)
+        ranked = blobs.groupBy("slice").applyInPandas(lean_group(_rank_slice(threshold)), _RANKED)
         ranked = Table(ranked.withColumn("bin", F.pmod(F.xxhash64(F.expr("substring(ranked, -8, 8)")), F.lit(bins))), "join-ranked")
         sets.drop()
         alike.drop()
@@ -594,7 +594,7 @@ class _Join:
         home = F.col("bin") * F.lit(1 << 24) + F.pmod(F.xxhash64("id", "k1"), F.coalesce("ways", F.lit(1)))
         self.placed = ranked.df.join(crowded.side(), "bin", "left").withColumn("home", home).drop("bin", "ways")
         self.tables.append(ranked)
-        prefix = self.placed.select("id", "size", "ranked", "home").mapInArrow(_prefixes(threshold), _PREFIX)
+        prefix = self.placed.select("id", "size", "ranked", "home").mapInArrow(lean(_prefixes(threshold)), _PREFIX)
         lists = prefix.groupBy("gram", "home").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("id").alias("least"))
         a, b = prefix.alias("a"), lists.alias("b")
         near = (F.col("a.home") != F.col("b.home")) & (F.col("b.least") < F.col("a.id")) & (F.col("b.high") >= F.col("a.size") * F.lit(threshold) - _EPS) & (F.col("b.low") * F.lit(threshold) - _EPS <= F.col("a.size"))
@@ -618,7 +618,7 @@ class _Join:
             routes = self._table(self.routes.df.join(homes.side(), "home", "left_semi"), "routes")
             sent = asked.drop("home").join(routes.side(), "id").unionByName(asked.join(homes.side(), "home", "left_semi"), allowMissingColumns=True)
         rows = residents.withColumn("kind", F.lit(0)).select(*columns).unionByName(sent.withColumn("kind", F.lit(1)).select(*columns))
-        return rows.repartition(self.tasks, "home").sortWithinPartitions("home", "kind", "id").mapInArrow(run, schema)
+        return rows.repartition(self.tasks, "home").sortWithinPartitions("home", "kind", "id").mapInArrow(lean(run), schema)
 
     def drop(self) -> None:
         for t in self.tables:
