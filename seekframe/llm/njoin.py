@@ -12,7 +12,8 @@ named by 64 bits.  Of documents with identical texts, then of those with identic
    among the size - T + 1 rarest of both, so each document is also sent as a query to the homes that hold one of its own.
 4. Search.  A shard answers queries from inverted lists: the short lists are heap-merged to count each document's occurrences,
    documents with T - L of them are completed by binary probes of the L long lists, and those with the
-   overlap that their own size requires are links.  What leaves a shard is linear in its documents: classes and counts, or edges to documents that may stay.
+   overlap that their own size requires are links.  For classes, grams that DENSE residents or more hold are bits instead of lists: they are counted
+   64 at a time, so that lines that many documents repeat, and large families of near copies, aren't merged for each of their members.  What leaves a shard is linear in its documents: classes and counts, or edges to documents that may stay.
 
 Filters only drop what can't reach the threshold, and nothing is capped.  Numbers of buckets and shards follow from measured bytes.
 """
@@ -23,6 +24,7 @@ import hashlib
 import heapq
 import re
 from bisect import bisect_left
+from itertools import chain, groupby
 from math import ceil
 
 import numpy as np
@@ -44,6 +46,8 @@ BUCKET_BYTES, BUCKET_GRAMS = 16 << 20, 2 << 20
 MARK_BITS = 26
 #: Postings that a bin of homes is made for, and that a home holds at most, unless a single document has more.
 BIN_POSTINGS, SHARD_POSTINGS = 400_000, 1 << 20
+#: Residents of a shard from which on a gram that they hold is a bit of theirs, and no list.
+DENSE = 64
 SLICE_CHARS, SLICE_DOCS = 4 << 20, 50_000
 
 _EPS = 1e-9
@@ -291,11 +295,11 @@ def _rank_slice(threshold: float):
 
 # --- step 3 -----------------------------------------------------------------------------------------------
 
-_PREFIX = "gram int, id bigint, home bigint, size int"
+_PREFIX = "gram bigint, id bigint, home bigint, size int"
 
 
-def _prefixes(threshold: float):
-    """Half the names of the size - T + 1 rarest grams of each set, T by its whole size: another gram with the same half only adds a route."""
+def _prefixes(threshold: float, halved: bool):
+    """The size - T + 1 rarest grams of each set, T by its whole size; halved: half their names, where another gram with the same half only adds a route, of which there are ever more in larger tables."""
 
     def run(batches):
         for batch in batches:
@@ -305,7 +309,7 @@ def _prefixes(threshold: float):
                 own = [np.frombuffer(x, "<i8") for x in part["ranked"].to_pylist()]
                 own = [x[: len(x) - t + 1] for x, t in zip(own, _needs(size, threshold))]
                 n = [len(x) for x in own]
-                columns = [np.concatenate(own).astype(np.int32), np.repeat(part["id"].to_numpy(), n), np.repeat(part["home"].to_numpy(), n), np.repeat(size, n).astype(np.int32)]
+                columns = [np.concatenate(own).astype(np.int32 if halved else np.int64), np.repeat(part["id"].to_numpy(), n), np.repeat(part["home"].to_numpy(), n), np.repeat(size, n).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "id", "home", "size"])
 
     return run
@@ -369,6 +373,12 @@ def heap_merge(lists: list[list[int]], least: int = 1) -> list[tuple[int, int]]:
     return out
 
 
+def _apart(lists: list[list[int]], t: int) -> int:
+    """DivideSkip's number of long lists to probe, the lists being sorted by length: longer lists are worth more probes."""
+    longest = len(lists[-1])
+    return min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1))) if longest > 1 else 0
+
+
 def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, before: int, sure: float = 1.0) -> list[tuple[int, int]]:
     """(place, overlap) of the shard's documents with ids below ``before`` that are linked to a set.
 
@@ -378,9 +388,7 @@ def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, bef
     lists = index.of(grams)
     if len(lists) < t:
         return []
-    # DivideSkip's rule: longer lists are worth more probes
-    longest = len(lists[-1])
-    apart = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1))) if longest > 1 else 0
+    apart = _apart(lists, t)
     short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
     ids, sizes, out = index.ids, index.sizes, []
     for d, n in heap_merge(short, t - apart):
@@ -401,6 +409,116 @@ def divide_skip(index: Lists, grams: list[int], size: int, threshold: float, bef
     return out
 
 
+class Shard:
+    """All residents of one shard, in ascending order of their ids: inverted lists of the grams that few hold, bits for the others.
+
+    A word has the bits of 64 grams, and is kept for the residents alone that hold one of them.
+    """
+
+    def __init__(self, ids: list[int], sizes: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes, n = ids, np.array(sizes, np.int64), len(ids)
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        grams, self.docs = grams[order], np.repeat(np.arange(n), [len(x) for x in sets])[order]
+        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        self.grams, self.cut = grams[first], np.append(first, len(grams))
+        length = np.diff(self.cut)
+        dense = np.flatnonzero(length >= DENSE)
+        # the grams of one resident are neighbours, so that those that hold the same ones have few words
+        dense = dense[np.argsort(order[first[dense]])]
+        self.bit = np.full(len(first), -1)
+        self.bit[dense] = np.arange(len(dense))
+        self.listed = np.bincount(self.docs[np.repeat(self.bit < 0, length)], minlength=n)
+        length = length[dense]
+        at = np.repeat(first[dense] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        bit = np.repeat(np.arange(len(dense)), length)
+        key = (bit >> 6) * n + self.docs[at]
+        order = np.argsort(key, kind="stable")
+        key, mask = key[order], np.uint64(1) << (bit[order] & 63).astype(np.uint64)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.masks = np.bitwise_or.reduceat(mask, first) if len(first) else mask
+        words = -(-len(dense) // 64)
+        self.holders, self.word = key[first] % n, np.searchsorted(key[first], np.arange(words + 1) * n)
+
+    def dense_overlaps(self, bits: np.ndarray, end: int) -> np.ndarray:
+        """How many of these bits each of the first ``end`` residents has."""
+        out = np.zeros(end, np.int64)
+        asked = np.zeros(len(self.word) - 1, np.uint64)
+        np.bitwise_or.at(asked, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
+        for w in np.flatnonzero(asked).tolist():
+            a, b = self.word[w], self.word[w + 1]
+            b = a + np.searchsorted(self.holders[a:b], end)
+            out[self.holders[a:b]] += np.bitwise_count(self.masks[a:b] & asked[w])
+        return out
+
+    def lists(self, at: np.ndarray, end: int) -> list[list[int]]:
+        """The lists of the grams at these places among the first ``end`` residents, those that aren't empty, shortest first."""
+        length = self.cut[at + 1] - self.cut[at]
+        docs = self.docs[np.repeat(self.cut[at] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        of = np.repeat(np.arange(len(at)), length)[docs < end]
+        length = np.bincount(of, minlength=len(at))
+        begin = np.cumsum(length) - length
+        docs, order = docs[docs < end].tolist(), np.argsort(length, kind="stable")[np.count_nonzero(length == 0) :]
+        return [docs[a:b] for a, b in zip(begin[order].tolist(), (begin + length)[order].tolist())]
+
+    def links(self, grams: np.ndarray, size: int, threshold: float, before: int) -> np.ndarray:
+        """Places of the residents with ids below ``before`` that are linked to a set."""
+        end, t = bisect_left(self.ids, before), need(size, threshold)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        at = at[self.grams[at] == grams]
+        if len(at) < t or not end:
+            return np.zeros(0, np.int64)
+        dense = self.bit[at] >= 0
+        # what each resident still lacks for a link, and those that may hold as much among the grams with lists
+        lack = np.maximum(t, np.ceil((self.sizes[:end] + size) * threshold / (1 + threshold) - _EPS).astype(np.int64)) - self.dense_overlaps(self.bit[at[dense]], end)
+        able = np.flatnonzero(lack <= 0)
+        open_lacks = lack[(lack > 0) & (lack <= np.minimum(self.listed[:end], np.count_nonzero(~dense)))]
+        if not len(open_lacks):
+            return able
+        t_rest = int(open_lacks.min())
+        lists = self.lists(at[~dense], end)
+        if len(lists) < t_rest:
+            return able
+        apart = _apart(lists, t_rest)
+        short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
+        more = []
+        for d, n in heap_merge(short, t_rest - apart):
+            required = int(lack[d])
+            if required <= 0:  # one of the able
+                continue
+            left = apart
+            for x in long:
+                if n + left < required or n >= required:
+                    break
+                left -= 1
+                i = bisect_left(x, d)
+                n += i < len(x) and x[i] == d
+            if n >= required:
+                more.append(d)
+        return np.concatenate((able, np.array(more, np.int64)))
+
+
+class Forest:
+    """Classes of places: each leads to the least one of its class."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        at = self.parent[places]
+        while not np.array_equal(up := self.parent[at], at):
+            at = up
+        self.parent[places] = at
+        return at
+
+    def join(self, places: np.ndarray) -> int:
+        """Make the classes of these places one; its least place."""
+        roots = self.roots(places)
+        least = roots.min()
+        self.parent[roots] = self.parent[places] = least
+        return int(least)
+
+
 def _homes(batches):
     """(home, kind, id, size, weight, ranked, the rest) of a partition sorted by home and, within it, with the residents first."""
     for batch in batches:
@@ -420,47 +538,37 @@ def _search_classes(threshold: float):
     """For each document of a home or sent to it (id, a document of its class, links found here)."""
 
     def run(batches):
-        home, out = None, []
-
-        def close():
-            if home is None:
-                return
-            for d, ident in enumerate(index.ids):
-                if links[d]:
-                    out.append((ident, index.ids[root(d)], links[d]))
-
-        def root(d: int) -> int:
-            while parent[d] != d:
-                parent[d] = d = parent[parent[d]]
-            return d
-
-        for at, kind, ident, size, weight, grams, *_ in _homes(batches):
-            if at != home:
-                close()
-                home, index, parent, links, weights = at, Lists(), [], [], []
+        out = []
+        for _, rows in groupby(_homes(batches), key=lambda row: row[0]):
+            held, sent = [], None
+            for row in rows:
+                if row[1]:
+                    sent = row
+                    break
+                held.append(row)
+            if not held:  # nothing lives here: read on
+                continue
+            ids, sizes, weights = (list(x) for x in zip(*((ident, size, weight) for _, _, ident, size, weight, *_ in held)))
+            sets = [np.frombuffer(row[5], "<i8") for row in held]
+            shard, forest, weights, links = Shard(ids, sizes, sets), Forest(len(ids)), np.array(weights, np.int64), np.zeros(len(ids), np.int64)
+            del held
+            for place, own in enumerate(sets):
+                found = shard.links(own, sizes[place], threshold, ids[place])
+                if len(found):
+                    links[found] += weights[place]
+                    links[place] += weights[found].sum()
+                    forest.join(np.append(found, place))
+            del sets
+            for _, _, ident, size, weight, grams, *_ in () if sent is None else chain([sent], rows):
+                found = shard.links(np.frombuffer(grams, "<i8"), size, threshold, ident)
+                if len(found):
+                    links[found] += weight
+                    out.append((ident, ids[forest.join(found)], int(weights[found].sum())))
                 if len(out) > 10_000:
                     yield _batch(_FOUND, out)
                     out = []
-            grams = _numbers(grams)
-            found = divide_skip(index, grams, size, threshold, ident, threshold)
-            lead = None
-            for d, _ in found:
-                links[d] += weight
-                d = root(d)
-                if lead is None:
-                    lead = d
-                elif d != lead:
-                    lead, d = min(lead, d), max(lead, d)
-                    parent[d] = lead
-            n = sum(weights[d] for d, _ in found)
-            if kind == 0:
-                mine = index.add(ident, size, grams)
-                parent.append(mine if lead is None else lead)
-                links.append(n)
-                weights.append(weight)
-            elif found:
-                out.append((ident, index.ids[lead], n))
-        close()
+            linked = np.flatnonzero(links)
+            out += [(ids[d], ids[r], n) for d, r, n in zip(linked.tolist(), forest.roots(linked).tolist(), links[linked].tolist())]
         if out:
             yield _batch(_FOUND, out)
 
@@ -543,7 +651,7 @@ def _total(table: Table, column) -> int:
 class _Join:
     """Steps 1 to 3: ``members`` (id, lead) of documents that another stands for, ``placed`` sets with their homes, and ``routes`` (id, home)."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, weighted: bool = True, with_lines: bool = False):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, weighted: bool = True, with_lines: bool = False, halved: bool = False):
         self.threshold, self.tables = threshold, []
         narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
         if not stable(narrow):
@@ -594,7 +702,7 @@ class _Join:
         home = F.col("bin") * F.lit(1 << 24) + F.pmod(F.xxhash64("id", "k1"), F.coalesce("ways", F.lit(1)))
         self.placed = ranked.df.join(crowded.side(), "bin", "left").withColumn("home", home).drop("bin", "ways")
         self.tables.append(ranked)
-        prefix = self.placed.select("id", "size", "ranked", "home").mapInArrow(lean(_prefixes(threshold)), _PREFIX)
+        prefix = self.placed.select("id", "size", "ranked", "home").mapInArrow(lean(_prefixes(threshold, halved)), _PREFIX if not halved else _PREFIX.replace("gram bigint", "gram int"))
         lists = prefix.groupBy("gram", "home").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("id").alias("least"))
         a, b = prefix.alias("a"), lists.alias("b")
         near = (F.col("a.home") != F.col("b.home")) & (F.col("b.least") < F.col("a.id")) & (F.col("b.high") >= F.col("a.size") * F.lit(threshold) - _EPS) & (F.col("b.low") * F.lit(threshold) - _EPS <= F.col("a.size"))
@@ -679,7 +787,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     home sends edges from those of its residents only that are near copies of no smaller such resident; one of the others that stays after all,
     as its near copies at home were dropped for some document elsewhere, is searched for once more.
     """
-    join = _Join(docs, id_col, text_col, n, threshold, weighted=False, with_lines=True)
+    join = _Join(docs, id_col, text_col, n, threshold, weighted=False, with_lines=True, halved=True)
     first = Table(join.search(_search_near(threshold, False), _EDGE), "near-edges")
     parts, done = [first], []
     while True:

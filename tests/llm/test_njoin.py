@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,59 @@ def test_divide_skip_equals_counting():
         index.add(q, len(s), s)
 
 
+@pytest.mark.parametrize("dense", [2, 5, 64])
+def test_shard_equals_counting(monkeypatch, dense):
+    monkeypatch.setattr(njoin, "DENSE", dense)
+    r = random.Random(dense)
+    sets = [r.sample(range(200), r.randrange(1, 60)) for _ in range(80)]
+    sizes, ids = [len(s) + r.randrange(4) for s in sets], sorted(r.choices(range(200), k=80))
+    shard = njoin.Shard(ids, sizes, [np.array(s, np.int64) for s in sets])
+    for q in range(80):
+        both = [len(set(s) & set(sets[q])) for s in sets]
+        want = [i for i in range(80) if ids[i] < ids[q] and both[i] >= 0.3 * (sizes[i] + sizes[q] - both[i]) - 1e-9]
+        assert sorted(shard.links(np.array(sets[q], np.int64), sizes[q], 0.3, ids[q])) == want
+    assert not len(shard.links(np.array([500, 501]), 2, 0.3, 10**6))
+
+
+def test_families_and_repeated_lines_are_not_merged_for_each_member(monkeypatch):
+    """Near copies of one document, and short documents with a line in common: both grow with the table."""
+
+    def search(m):
+        r, sets, sizes = random.Random(m), [], []
+        for i in range(m):
+            holes = {g for at in r.sample(range(100), 4) for g in range(at, at + 5)}
+            sets += [[g for g in range(100) if g not in holes], [*range(200, 209), 1000 + i // 2]]
+            sizes += [100, r.randrange(12, 31)]
+        kinds = [0] * m + [1] * m  # half of them live here
+        rows = [(0, k, i, n, 1, np.array(s, "<i8").tobytes(), b"", b"", b"") for i, (k, n, s) in enumerate(zip(kinds, sizes, sets))]
+        names = ["home", "kind", "id", "size", "weight", "ranked", "places", "lines", "counts"]
+        merged, merge = [0], njoin.heap_merge
+
+        def counted(lists, least=1):
+            merged[0] += sum(map(len, lists))
+            return merge(lists, least)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(njoin, "heap_merge", counted)
+            batches = njoin._search_classes(0.3)([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)])
+            found = [x for b in batches for x in zip(*b.to_pydict().values())]
+        links = Counter()
+        every = [frozenset(s) for s in sets]
+        for b in range(2 * m):
+            for a in range(min(b, m)):
+                both = len(every[a] & every[b])
+                if both >= 0.3 * (sizes[a] + sizes[b] - both) - 1e-9:
+                    links[a] += 1
+                    links[b] += 1
+        got = Counter()
+        for i, _, n in found:
+            got[i] += n
+        assert got == links and {other % 2 for i, other, _ in found if i % 2} == {1}
+        return merged[0]
+
+    assert search(600) <= 5 * search(150) + 1000
+
+
 BANDS = [(0, 0.0, 2.0), (64, 0.7, 2.2), (128, 0.9, 2.6), (256, 1.1, 2.8), (512, 1.25, 3.0), (1024, 1.35, 3.2), (2048, 1.4, 3.5), (4096, 1.45, 4.0), (16384, 1.5, 4.5)]
 
 
