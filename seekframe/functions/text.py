@@ -44,14 +44,18 @@ def wrap_truncate(ids: Column, cls: int, sep: int, longest: int) -> Column:
     return F.concat(F.array(F.lit(cls)), F.slice(ids, 1, max(0, longest - 2)), F.array(F.lit(sep)))
 
 
-def pair_truncate(query: Column, doc: Column, longest: int, special: int = 3) -> Column:
-    """(query, doc) cut to longest - special ids together, always from the longer side; equal sides lose from doc first."""
+def pair_lengths(n: Column, m: Column, longest: int, special: int = 3) -> tuple[Column, Column]:
+    """What pair_truncate leaves of a query of n ids and a document of m."""
     room = longest - special
-    n, m = F.size(query), F.size(doc)
     most_q, most_d = room - room // 2, room // 2
     over = n + m > room
     keep_q = F.when(~over, n).when(n <= most_q, n).when(m <= most_d, room - m).otherwise(F.lit(most_q))
-    keep_d = F.when(~over, m).otherwise(F.lit(room) - keep_q)
+    return keep_q, F.when(~over, m).otherwise(F.lit(room) - keep_q)
+
+
+def pair_truncate(query: Column, doc: Column, longest: int, special: int = 3) -> Column:
+    """(query, doc) cut to longest - special ids together, always from the longer side; equal sides lose from doc first."""
+    keep_q, keep_d = pair_lengths(F.size(query), F.size(doc), longest, special)
     return F.struct(F.slice(query, F.lit(1), keep_q.cast("int")).alias("query"), F.slice(doc, F.lit(1), keep_d.cast("int")).alias("doc"))
 
 

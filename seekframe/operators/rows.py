@@ -13,3 +13,11 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= cores * SMALL_BYTES else df
+
+
+def lanes(df: DataFrame) -> int:
+    """Into how many partitions df is laid out for work that grows with more than its rows: one for each core, more for what isn't small."""
+    s = df.sparkSession
+    cores = s.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return cores if size <= cores * SMALL_BYTES else max(cores, int(s.conf.get("spark.sql.shuffle.partitions")))

@@ -21,3 +21,13 @@ def same_as_sql(spark, d, name, *tables):
 def test_pages_of_one_address_stay_apart(spark, tmp_path):
     spark.createDataFrame([(1, "a/x", "<p>one\n"), (2, "a/x", "<p>two\n"), (3, "b", "")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     same_as_sql(spark, str(tmp_path), "chunk_regex_joined", "pages")
+
+
+def test_pairs_are_made_of_numbers_of_tokens(spark):
+    """No text and no array of tokens crosses the join, and an exchange keeps the count of tokens out of its loop."""
+    q = QUERIES["pair_truncate"](spark, "/root/testdata/sf0.001")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    joined = plan[: plan.index("regexp_extract_all")]
+    assert "Join" in joined and "Exchange hashpartitioning(doc_id" in joined
+    n, m = T.pair_lengths(F.lit(40), F.lit(5), 64)
+    assert spark.range(1).select(n, m).first() == (40, 5)
