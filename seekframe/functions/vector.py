@@ -22,11 +22,19 @@ def truncate(v: Column, dim: int) -> Column:
     return l2_normalize(F.slice(v, 1, max(0, dim)))
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that is computed once, though f names it for each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def quantize_i8(v: Column, zero_scale: float = 1.0) -> Column:
     """(codes, scale): symmetric 8-bit codes of a row; zeros get the scale zero_scale."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x))).cast("double")
-    codes = F.transform(v, lambda x: F.when(top > 0, F.round(x.cast("double") / (top / F.lit(127.0)))).otherwise(F.lit(0.0)).cast("int"))
-    return F.struct(codes.alias("codes"), F.when(top > 0, top / F.lit(127.0)).otherwise(F.lit(zero_scale)).alias("scale"))
+
+    def by(v: Column, top: Column) -> Column:
+        codes = F.transform(v, lambda x: F.when(top > 0, F.round(x.cast("double") / (top / F.lit(127.0)))).otherwise(F.lit(0.0)).cast("int"))
+        return F.struct(codes.alias("codes"), F.when(top > 0, top / F.lit(127.0)).otherwise(F.lit(zero_scale)).alias("scale"))
+
+    return _once(v, lambda v: _once(F.array_max(F.transform(v, lambda x: F.abs(x))).cast("double"), lambda top: by(v, top)))
 
 
 def dequantize(codes: Column, scale: Column) -> Column:
