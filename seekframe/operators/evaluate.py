@@ -23,6 +23,16 @@ def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return both.select("query_id", F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
+def ndcg_of_groups(ranked: DataFrame, queries: DataFrame, docs: DataFrame, group: str, k: int = 10) -> DataFrame:
+    """ndcg() where the relevant documents of a query are those of its group, with gain 1: (query_id, group) and (doc_id, group) instead of their pairs."""
+    many = docs.groupBy(group).agg(F.count("*").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1) / F.log2(i + F.lit(1)))
+    best = queries.select("query_id", group).join(many, group).select("query_id", group, ideal.alias("idcg"))
+    top = ranked.filter(F.col("rank") <= k).join(docs.select("doc_id", F.col(group).alias("_of")), "doc_id").select("query_id", "_of", "rank")
+    dcg = F.coalesce(F.sum(F.when(F.col("_of") == F.col(group), F.lit(1) / F.log2(F.col("rank") + 1))), F.lit(0.0))
+    return best.join(top, "query_id", "left").groupBy("query_id").agg((dcg / F.first("idcg")).alias("ndcg"))
+
+
 def latest(records: DataFrame, key: list[str], seq: str) -> DataFrame:
     """The last record of each key."""
     return records.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(seq)))).filter("_rn = 1").drop("_rn")
