@@ -1,10 +1,15 @@
 """What odd inputs and larger tables have shown: each case failed, or took far more than its input, before."""
 
+import re
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seekframe.functions import text as T
+from seekframe.operators import dense
+from seekframe.operators import evaluate as E
 from seekframe.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -31,3 +36,54 @@ def test_pairs_are_made_of_numbers_of_tokens(spark):
     assert "Join" in joined and "Exchange hashpartitioning(doc_id" in joined
     n, m = T.pair_lengths(F.lit(40), F.lit(5), 64)
     assert spark.range(1).select(n, m).first() == (40, 5)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_vectors(spark, n, dim=8, ids="bigint", seed=0):
+    r = np.random.default_rng(seed).normal(size=(n, dim)).round(1).tolist()  # many ties
+    rows = [(str(i) if ids == "string" else i, v) for i, v in enumerate(r)]
+    return spark.createDataFrame(rows, f"doc_id {ids}, embedding array<double>").repartition(6)
+
+
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+def test_k_rows_leave_for_a_query_from_however_many_blocks(spark, ids):
+    v, q = some_vectors(spark, 300, ids=ids), some_vectors(spark, 20, seed=1).toDF("query_id", "query")
+    assert dense.flat(v, q, k=4).count() == 80
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
+    assert rows(dense.flat_top_k(v, q, 4)) == rows(dense.flat_top_k(v, q, 4, scorer="sql"))
+    assert rows(dense.flat_top_k(v, q, 0)) == rows(dense.flat_top_k(v, q, 0, scorer="sql"))
+
+
+def test_vectors_without_id_or_number_stay_and_go(spark):
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (1, [float("nan"), 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.0]), (4, [1.0]), (5, None)], "doc_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, query array<double>")
+    assert [r["doc_id"] for r in dense.flat_top_k(v, q, 2).orderBy("rank").collect()] == [None, 2]
+    assert [r["doc_id"] for r in dense.flat_top_k(v, q, 0).orderBy("rank").collect()] == [None, 2, 3]
+
+
+@pytest.mark.parametrize("rerank", ["f32", "i8"])
+def test_candidates_are_scored_where_the_vectors_pass(spark, rerank):
+    """No candidate is joined with its vector; as many candidates as vectors give the exact order."""
+    v, q = some_vectors(spark, 60), some_vectors(spark, 10, seed=1).toDF("query_id", "query")
+    found = dense.binary_top_k(v, q, 5, 8, rerank=rerank)
+    assert not re.search(r"Join[^\n]*\[doc_id", planned(found))
+    exact = dense.flat_top_k(v, q, 5) if rerank == "f32" else dense.i8_top_k(dense.build_i8(v, 8), q, 5, 8)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(found) == rows(exact)
+
+
+def test_gains_of_groups_need_no_pairs(spark):
+    ranked = spark.createDataFrame([(0, 10, 1), (0, 11, 2), (0, 12, 3), (1, 11, 1)], "query_id bigint, doc_id bigint, rank int")
+    q = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, None), (4, "c")], "query_id bigint, g string")
+    docs = spark.createDataFrame([(10, "a"), (11, "b"), (12, "a"), (13, None)], "doc_id bigint, g string")
+    pairs = q.join(docs, "g").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    rows = lambda df: sorted((r["query_id"], round(r["ndcg"], 9)) for r in df.collect())
+    assert rows(E.ndcg_of_groups(ranked, q, docs, "g")) == rows(E.ndcg(ranked, pairs))
+
+
+@pytest.mark.parametrize("name", ["softmax_rows", "flat_all_sorted"])
+def test_all_pairs_are_neither_sorted_nor_shuffled(spark, name):
+    assert not re.search("Window|Sort ", planned(QUERIES[name](spark, "/root/testdata/sf0.001")))
