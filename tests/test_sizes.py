@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekframe.functions import text as T
-from seekframe.operators import dense
+from seekframe.operators import dense, graph
 from seekframe.operators import evaluate as E
 from seekframe.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -87,3 +87,18 @@ def test_gains_of_groups_need_no_pairs(spark):
 @pytest.mark.parametrize("name", ["softmax_rows", "flat_all_sorted"])
 def test_all_pairs_are_neither_sorted_nor_shuffled(spark, name):
     assert not re.search("Window|Sort ", planned(QUERIES[name](spark, "/root/testdata/sf0.001")))
+
+
+def test_queries_move_through_graphs_many_at_a_time(spark):
+    r = np.random.default_rng(0)
+    v = r.normal(size=(700, 8)).astype(np.float32)
+    g, keep = graph.Graph(8).fill(np.arange(700), v), np.arange(700) % 7 == 0
+    for kept, ef in ((None, 700), (keep, 700)):
+        q, ids, _ = g.query_many(v[:300], 3, ef, kept)
+        assert q.tolist() == np.repeat(np.arange(300), 3).tolist()
+        want = np.where(np.ones(700, bool) if kept is None else kept, v[:300] @ v.T, -np.inf)
+        assert (ids.reshape(300, 3) == np.argsort(-want, axis=1, kind="stable")[:, :3]).mean() > 0.99
+    assert len(g.query_many(v[:5], 1, 1, keep)[0]) <= 5
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "doc_id bigint, embedding array<float>")
+    found = graph.search(graph.build(df, shards=3), df.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")), 2)
+    assert "CoGroups" not in planned(found) and found.count() == 1400
