@@ -106,6 +106,8 @@ class Best:
     def add(self, s: np.ndarray, ids: np.ndarray) -> None:
         """s: the scores (queries, vectors) of one more block."""
         hit = s >= (self.s[:, -1] - _TIE)[:, None]
+        if self.s[:, -1].min() == -np.inf:
+            hit &= s > -np.inf
         if s.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(s):
             kth = np.partition(np.where(np.isnan(s), -np.inf, s), s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
             hit &= s >= (kth - _TIE)[:, None]
