@@ -2,28 +2,108 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import block
+from .rows import lanes
 
-def static_embed(ids: DataFrame, vocab: DataFrame, normalize: bool = True) -> DataFrame:
-    """(doc_id, pos, y): the weighted mean of the rows of (doc_id, ids) in (id, embedding, weight); unknown ids are skipped.
 
-    Ids are counted for each document first, so a document meets each vocabulary row once.  A document without known ids is a zero vector.
+#: Documents whose vectors are summed up at once.
+DOCS = 256
+
+
+def _id_counts(ids: DataFrame) -> DataFrame:
+    """(doc_id, ids, ks): how often each row has each of its ids."""
+    kind, id_kind = ids.schema["doc_id"].dataType.simpleString(), ids.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy(zero_copy_only=False)
+            own = batch["ids"].flatten().dictionary_encode()
+            number, many = pc.fill_null(own.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(own.dictionary))
+            key, k = np.unique((np.repeat(np.arange(len(n)), n) * many + number)[number >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(key // many, np.arange(len(n) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(ends, own.dictionary.take(pa.array(key % many))), pa.ListArray.from_arrays(ends, pa.array(k, pa.int64()))], ["doc_id", "ids", "ks"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<{id_kind}>, ks array<bigint>")
+
+
+def static_vectors(ids: DataFrame, vocab: DataFrame, normalize: bool = True) -> DataFrame:
+    """(doc_id, embedding): the weighted mean of the rows of (doc_id, ids) in (id, embedding, weight); unknown ids are skipped.
+
+    A document's ids are counted where it is; only these numbers are shuffled. The vocabulary's rows that any document names pass by each block of
+    documents. A document without known ids is a zero vector.
     """
-    width = vocab.select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("pos")).distinct()
-    every = ids.select("doc_id").distinct().crossJoin(width)
-    counts = ids.select("doc_id", F.explode("ids").alias("id")).groupBy("doc_id", "id").agg(F.count("*").alias("k"))
-    rows = vocab.select("id", "weight", F.posexplode("embedding").alias("pos", "x"))
-    both = counts.join(rows, "id").groupBy("doc_id", "pos").agg(F.sum(F.col("k") * F.col("x").cast("double") * F.col("weight")).alias("s"), F.sum(F.col("k") * F.col("weight")).alias("w"))
-    mean = both.select("doc_id", "pos", F.when(F.col("w") != 0, F.col("s") / F.col("w")).otherwise(F.lit(0.0)).alias("y"))
-    mean = every.join(mean, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("y", F.lit(0.0)).alias("y"))
-    if not normalize:
-        return mean
-    norm = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("doc_id")))
-    return mean.withColumn("n", norm).select("doc_id", "pos", F.when(F.col("n") < 1e-12, F.lit(0.0)).otherwise(F.col("y") / F.col("n")).alias("y"))
+    counts = _id_counts(ids).repartition(lanes(ids), "doc_id")  # read twice
+    docs = counts.groupBy("doc_id").agg(F.flatten(F.collect_list(F.coalesce("ids", F.array()))).alias("ids"), F.flatten(F.collect_list("ks")).alias("ks"))
+    docs = docs.crossJoin(F.broadcast(vocab.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width"))))
+    used = vocab.join(counts.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi")
+    kind = "<f4" if vocab.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    v = block.pack(used.withColumn("weight", F.col("weight").cast("double")), "id", "embedding", kind, "weight")
+    empty = docs.sparkSession.createDataFrame([([], b"", 0, b"", b"", -1)], v.schema)  # documents stay where no word is known
+    doc_kind = ids.schema["doc_id"].dataType.simpleString()
+
+    def blocks(batches):
+        no = count()
+        for batch in batches:
+            for a in range(0, batch.num_rows, DOCS):
+                part = batch.slice(a, DOCS).take(pa.array(np.arange(min(DOCS, batch.num_rows - a))))
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part["doc_id"], part["ids"], part["ks"])]
+                yield pa.RecordBatch.from_arrays([*one, part["width"].slice(0, 1), pa.array([next(no)], pa.int64())], ["docs", "own", "ks", "width", "no"])
+
+    packed = docs.select("doc_id", "ids", "ks", "width").mapInArrow(blocks, f"docs array<{doc_kind}>, own array<{docs.schema['ids'].dataType.simpleString()}>, ks array<array<bigint>>, width int, no bigint")
+
+    def run(batches):
+        held, no = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch["no"][i].as_py() != no:
+                    if held:
+                        yield done(*held)
+                    no = batch["no"][i].as_py()
+                    docs, own, ks, width = (batch[c][i] for c in ("docs", "own", "ks", "width"))
+                    docs, width = docs.values.take(pa.array(np.arange(len(docs.values)))), width.as_py()
+                    of, named, k = np.repeat(np.arange(len(docs)), pc.list_value_length(own.values).to_numpy(zero_copy_only=False)), block._numbers(own.values.flatten()), ks.values.flatten().to_numpy(zero_copy_only=False)
+                    order = np.argsort(named, kind="stable")
+                    of, named, k = of[order], named[order], k[order].astype(np.float64)
+                    held = docs, np.zeros((len(docs), width)), np.zeros((len(docs), width))
+                dim, number = batch["vdim"][i].as_py(), block._numbers(batch["vids"][i].values)
+                low = np.searchsorted(named, number, "left")
+                many = np.searchsorted(named, number, "right") - low
+                met = np.flatnonzero(many)
+                if not len(met) or not dim:
+                    continue
+                x = np.frombuffer(batch["vdata"][i].as_py(), kind).reshape(-1, dim)[met].astype(np.float64)
+                weight, low, many = np.frombuffer(batch["vscales"][i].as_py(), "<f8")[met], low[met], many[met]
+                word = np.repeat(np.arange(len(met)), many)
+                at = np.arange(len(word)) + np.repeat(low - (np.cumsum(many) - many), many)
+                c = np.bincount(of[at] * len(met) + word, k[at] * weight[word], len(held[0]) * len(met)).reshape(-1, len(met))
+                held[1][:, :dim] += c @ x
+                held[2][:, :dim] += c.sum(1)[:, None]
+        if held:
+            yield done(*held)
+
+    def done(docs, s, w):
+        y = np.divide(s, w, out=np.zeros_like(s), where=w != 0)
+        if normalize:
+            n = np.sqrt((y * y).sum(1))[:, None]
+            y = np.divide(y, n, out=np.zeros_like(y), where=n >= 1e-12)
+        ends = pa.array(np.arange(len(docs) + 1) * y.shape[1], pa.int32())
+        return pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["doc_id", "embedding"])
+
+    return packed.hint("shuffle_replicate_nl").crossJoin(v.unionByName(empty).repartition(1)).mapInArrow(run, f"doc_id {doc_kind}, embedding array<double>")
+
+
+def static_embed(ids: DataFrame, vocab: DataFrame, normalize: bool = True) -> DataFrame:
+    """(doc_id, pos, y) of static_vectors()."""
+    return static_vectors(ids, vocab, normalize).select("doc_id", F.posexplode("embedding").alias("pos", "y"))
 
 
 def erf(x: np.ndarray) -> np.ndarray:
