@@ -44,7 +44,13 @@ def static_vectors(ids: DataFrame, vocab: DataFrame, normalize: bool = True) ->
     counts = _id_counts(ids).repartition(lanes(ids), "doc_id")  # read twice
     docs = counts.groupBy("doc_id").agg(F.flatten(F.collect_list(F.coalesce("ids", F.array()))).alias("ids"), F.flatten(F.collect_list("ks")).alias("ks"))
     docs = docs.crossJoin(F.broadcast(vocab.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width"))))
-    used = vocab.join(counts.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi")
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pc.drop_null(pc.unique(batch["ids"].flatten()))], ["id"])
+
+    # with all columns: a narrower exchange would be one of its own, and tokenize again
+    used = vocab.join(counts.mapInArrow(named, f"id {ids.schema['ids'].dataType.elementType.simpleString()}").distinct(), "id", "left_semi")
     kind = "<f4" if vocab.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     v = block.pack(used.withColumn("weight", F.col("weight").cast("double")), "id", "embedding", kind, "weight")
     empty = docs.sparkSession.createDataFrame([([], b"", 0, b"", b"", -1)], v.schema)  # documents stay where no word is known

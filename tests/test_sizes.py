@@ -150,3 +150,13 @@ def test_static_vectors_meet_each_word_once(spark):
     got = {r["doc_id"]: [round(x, 9) for x in r["embedding"]] for r in encode.static_vectors(ids, vocab, normalize=False).collect()}
     assert got == {1: [1.5, 1.5], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [5.0, 0.0]}
     assert "Window" not in planned(encode.static_embed(ids, vocab))
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "static_embed"])
+def test_a_corpus_is_tokenized_once(spark, name):
+    """The statistics read the exchange that the scores read."""
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "ReusedExchange" in planned(df)
+    final = planned(df).split("Initial Plan")[0]
+    assert len(re.findall(r"regexp_extract_all\(lower\(text", final)) == 1
